@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, markov
 from .common import read
 
 
@@ -15,5 +15,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return graph.most_similar(records, requests, floor=0.95).select("query_id", F.col("id").alias("global_id"))
 
 
-QUERIES = {"p1_found": p1_found}
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "index_records").select(F.col("global_id").alias("id"), "vector")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markov.clusters(vectors(spark, d), floor=0.90).where(F.col("whole") & (F.col("size") >= 5))
+    return found.select("cluster_id", F.col("id").alias("global_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
