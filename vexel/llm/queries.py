@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, markov
-from .common import read
+from . import graph, markov, omh
+from .common import canonical, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,10 +20,15 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "index_records").select(F.col("global_id").alias("id"), "vector")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    records = read(spark, d, "index_records").select(F.col("global_id").alias("id"), "chunk", "vector", canonical(F.col("chunk")).alias("canon"))
+    return omh.near_duplicates(records).select("id_a", "id_b")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = markov.clusters(vectors(spark, d), floor=0.90).where(F.col("whole") & (F.col("size") >= 5))
     return found.select("cluster_id", F.col("id").alias("global_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
