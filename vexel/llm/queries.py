@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, markov, omh
+from . import graph, markov, omh, radix
 from .common import canonical, read
 
 
@@ -30,5 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cluster_id", F.col("id").alias("global_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = read(spark, d, "index_records").select(F.col("global_id").alias("id"), canonical(F.col("chunk")).alias("canon"))
+    return radix.collapse(texts).where(F.col("id") != F.col("keep")).select(F.col("keep").alias("keep_id"), F.col("id").alias("dup_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
