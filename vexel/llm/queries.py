@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, markov, omh, radix
+from . import graph, markov, omh, radix, topn
 from .common import canonical, read
 
 
@@ -35,5 +35,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return radix.collapse(texts).where(F.col("id") != F.col("keep")).select(F.col("keep").alias("keep_id"), F.col("id").alias("dup_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+#: Ids above this one mark the end of a shard's answer.
+LAST_ID = 2**63 - 1 - 101
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    hits = read(spark, d, "search_response").where(F.col("global_id") <= LAST_ID)
+    items = hits.select(F.col("query_id").alias("grp"), F.col("global_id").alias("id"), "score")
+    groups = read(spark, d, "search_request").select(F.col("query_id").alias("grp"), F.col("k").alias("n"))
+    return topn.top_n(items, groups).select(F.col("grp").alias("query_id"), F.col("id").alias("global_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+SQL: dict[str, str] = {
+    "p6_found": """
+        WITH asked AS (SELECT query_id, max(CASE WHEN k >= 1 THEN k ELSE 10 END) AS n FROM search_request WHERE query_id IS NOT NULL GROUP BY 1),
+        hits AS (SELECT query_id, global_id, max(score) AS score FROM search_response
+                 WHERE isfinite(score) AND global_id <= 9223372036854775706 GROUP BY 1, 2)
+        SELECT query_id, global_id FROM hits JOIN asked USING (query_id)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) <= max(n) OVER (PARTITION BY query_id)
+    """,
+}
