@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, markov, omh, radix, topn
+from . import graph, markov, omh, radix, spans, topn
 from .common import canonical, read
 
 
@@ -46,7 +46,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(items, groups).select(F.col("grp").alias("query_id"), F.col("id").alias("global_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = spans.shared_spans(texts(spark, d), span=300)
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH asked AS (SELECT query_id, max(CASE WHEN k >= 1 THEN k ELSE 10 END) AS n FROM search_request WHERE query_id IS NOT NULL GROUP BY 1),
