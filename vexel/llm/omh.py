@@ -143,7 +143,7 @@ def similar_texts(nodes: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
     similarity: shared words over all words, counted with repetition. edit: the same for words in common order (a banded
     alignment), at most similarity. One row for each pair of nodes; groups of copies should be one node before."""
-    kept = cut(sketched(nodes))
+    kept = sketched(nodes)
     one, two = kept.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), "key"), kept.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), "key")
     near = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) <= MOST_BITS
     sizes = (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
