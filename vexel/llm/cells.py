@@ -45,7 +45,7 @@ def fit(vectors: DataFrame, rows: int, *, target: int = TARGET, cap: int = CAP,
     part = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vector").toArrow()["vector"]
     if not len(part):
         return Cells(np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.ones(1, np.int64))
-    x = unit(vectors_of(part, dim=len(part[0])) if not pa.types.is_binary(part.type) else vectors_of(part))
+    x = unit(vectors_of(part))
     mean = x.mean(axis=0)
     x = unit(x - mean)
     n = int(np.clip(-(-rows // target), 1, min(MOST_CELLS, len(x))))

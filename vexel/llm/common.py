@@ -70,16 +70,18 @@ def is_valid(vector: Column) -> Column:
     return F.coalesce((F.size(vector) == DIM) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def vectors_of(column: pa.Array, dim: int = DIM) -> np.ndarray:
-    """float32 [rows, dim] of an array<float> column without nulls, or of a binary one."""
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """float32 [rows, components] of an array<float> column without nulls, or of a binary one; all rows have the same length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, 1), np.float32)
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
-        if not len(column):
-            return np.empty((0, dim), np.float32)
-        return np.frombuffer(column.buffers()[2], np.float32, count=(offsets[-1] - offsets[0]) // 4, offset=offsets[0]).reshape(len(column), dim)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), dim)
+        flat = np.frombuffer(column.buffers()[2], np.float32, count=(offsets[-1] - offsets[0]) // 4, offset=offsets[0])
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    return flat.reshape(len(column), -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, markov, omh, radix, spans, topn
+from . import facility, graph, leak, markov, mixing, omh, radix, spans, topn
 from .common import canonical, read
 
 
@@ -30,6 +30,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cluster_id", F.col("id").alias("global_id"))
 
 
+def p4_subset(spark: SparkSession, d: str) -> DataFrame:
+    records = read(spark, d, "index_records").select(F.col("global_id").alias("id"), "vector", "chunk")
+    return facility.varied_subset(records, share=0.02).withColumnRenamed("id", "global_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     texts = read(spark, d, "index_records").select(F.col("global_id").alias("id"), canonical(F.col("chunk")).alias("canon"))
     return radix.collapse(texts).where(F.col("id") != F.col("keep")).select(F.col("keep").alias("keep_id"), F.col("id").alias("dup_id"))
@@ -50,13 +55,39 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "eval_items").select(F.col("item_id").alias("item"), "text")
+    return leak.leaks(texts(spark, d), items).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.octet_length("text").alias("size"))
+    targets = read(spark, d, "mix_targets").select(F.col("plan_id").alias("plan"), F.col("total_ratio").alias("ratio"), "source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+    return mixing.mix(docs, targets)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixed(spark, d)[1].where("out_of_reach").select(F.col("plan").alias("plan_id"), "source")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixed(spark, d)[1].withColumnRenamed("plan", "plan_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = spans.shared_spans(texts(spark, d), span=300)
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_subset": p4_subset, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
 SQL: dict[str, str] = {
+    "p8_found": """
+        WITH docs AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL),
+        good AS (SELECT * FROM docs WHERE source <> ''),
+        sizes AS (SELECT source, sum(size) AS size FROM good GROUP BY 1)
+        SELECT DISTINCT plan_id, m.source FROM mix_targets m LEFT JOIN sizes s ON s.source = m.source
+        WHERE target_share * total_ratio * (SELECT sum(size) FROM good)::DOUBLE > max_repeats * coalesce(s.size, 0)::DOUBLE
+    """,
     "p6_found": """
         WITH asked AS (SELECT query_id, max(CASE WHEN k >= 1 THEN k ELSE 10 END) AS n FROM search_request WHERE query_id IS NOT NULL GROUP BY 1),
         hits AS (SELECT query_id, global_id, max(score) AS score FROM search_response
