@@ -56,6 +56,7 @@ def barrier(vectors: DataFrame, queries: DataFrame, *, tasks: int | None = None)
             for b in batches:
                 if not b.num_rows or not len(q):
                     continue
+                b = search.distinct_rows(b, None)
                 s = search.scores(q, search.matrix(b.column("vector")), "cosine")
                 r, c = search.best(s, k, None)
                 held.append((r, s[r, c], *(b.column(n).to_numpy(zero_copy_only=False)[c] for n in ("shard_id", "parent_id", "global_id"))))

@@ -53,6 +53,13 @@ def best(s: np.ndarray, k: np.ndarray, floor: np.ndarray | None) -> tuple[np.nda
     return tuple(np.concatenate(a) for a in zip(*out))  # type: ignore[return-value]
 
 
+def distinct_rows(b: pa.RecordBatch, by: str | None) -> pa.RecordBatch:
+    """In order of (by, global_id), each id once: a record delivered twice must not take two of the k places."""
+    ids = b.column("global_id").to_numpy()
+    _, first = np.unique(ids, return_index=True)
+    return b.take(pa.array(first if by is None else first[np.lexsort((ids[first], b.column(by).to_numpy()[first]))]))
+
+
 def query_blocks(queries: DataFrame, size: int = QUERIES) -> Iterator[pa.Table]:
     """The queries in tables of about `size` rows at most."""
     blocks = max(1, -(-queries.count() // size))
@@ -78,8 +85,7 @@ def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None,
             for b in batches:
                 if not b.num_rows or not len(q):
                     continue
-                order = np.lexsort((b.column("global_id").to_numpy(), b.column(by).to_numpy() if by else np.zeros(b.num_rows)))
-                b = b.take(pa.array(order))
+                b = distinct_rows(b, by)
                 x, group = matrix(b.column("vector")), b.column(by).to_numpy() if by else None
                 edge = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0] if by else np.array([0])
                 step = max(1, CELLS // len(x))
@@ -173,7 +179,7 @@ def budgeted(vectors: DataFrame, queries: DataFrame, *, visits: int, k: int | No
             for b in batches:
                 if not b.num_rows or not len(q):
                     continue
-                b = b.take(pa.array(np.lexsort((b.column("global_id").to_numpy(), b.column("shard_id").to_numpy()))))
+                b = distinct_rows(b, "shard_id")
                 x, group = matrix(b.column("vector")), b.column("shard_id").to_numpy()
                 signs, edge = np.where(x >= 0, 1, -1).astype(np.float32), np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
                 step = max(1, CELLS // len(x))

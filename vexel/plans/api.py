@@ -65,10 +65,9 @@ def embedded(texts: DataFrame, column: str, embedder: Callable[[list[str]], np.n
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            some = s.notna()
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            if some.any():
-                out[some] = list(embedder(s[some].tolist()))
+            some = [t for t in s if t is not None and t == t]
+            made = iter(embedder(some) if some else ())
+            out = pd.Series([None if t is None or t != t else next(made) for t in s], index=s.index, dtype=object)
             yield out
 
     return texts.withColumn("vector", run(F.col(column)))

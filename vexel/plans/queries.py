@@ -203,7 +203,7 @@ def parse_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_status(spark: SparkSession, d: str) -> DataFrame:
-    role = F.coalesce(F.lower(F.trim(table(spark, d, "shard_metadata")["node_role"])), F.lit(""))
+    role = F.coalesce(F.lower(F.trim(F.col("node_role"))), F.lit(""))
     return table(spark, d, "shard_metadata").groupBy(role.alias("node_role")).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("grpc_port") > 0).alias("n_up"))
 
 

@@ -61,7 +61,7 @@ SQL: dict[str, str] = {
     "knn_per_shard_k_merge": SHARDED + f"SELECT query_id, global_id, score, {RANK} FROM sharded WHERE shard_rank <= 3 QUALIFY rank <= k",
     "knn_hydrate_chunks": TOP + f"SELECT {HIT}, coalesce(c.chunk, '') AS chunk FROM top LEFT JOIN (SELECT global_id, max(chunk) AS chunk FROM index_records GROUP BY 1) c USING (global_id)",
     "knn_shard_metrics": BASE + "SELECT query_id, count(*) AS total_visited, count(DISTINCT shard_id) AS shards_finished FROM scored GROUP BY 1",
-    "knn_max_peers": MEMBERS.replace("WITH", BASE + ",") + f""", peers AS (SELECT shard_id FROM (SELECT shard_id, min(coalesce(host, '') || grpc_port) AS at FROM members WHERE shard_id <> 0 GROUP BY 1) ORDER BY at, shard_id LIMIT 3)
+    "knn_max_peers": MEMBERS.replace("WITH", BASE + ",") + f""", peers AS (SELECT shard_id FROM (SELECT shard_id, min(coalesce(host, '') || grpc_port) AS place FROM members WHERE shard_id <> 0 GROUP BY 1) ORDER BY place, shard_id LIMIT 3)
         SELECT query_id, global_id, score, {RANK} FROM scored WHERE shard_id = 0 OR shard_id IN (SELECT shard_id FROM peers) QUALIFY rank <= k""",
     "index_stats": "SELECT shard_id, count(*) AS n_rows, count(DISTINCT global_id) AS n_docs, count(vector) AS n_vectors, count(chunk) AS n_texts, coalesce(min(len(vector)), -1)::INT AS dim FROM index_records GROUP BY 1",
     "vector_dimension": "SELECT coalesce(min(len(vector)), -1)::INT AS least, coalesce(max(len(vector)), -1)::INT AS most, coalesce(mode(len(vector)), -1)::INT AS dim FROM index_records WHERE vector IS NOT NULL",
@@ -112,9 +112,9 @@ SQL: dict[str, str] = {
     "route_specificity": CENTROIDS + "SELECT query_id, coalesce(max(similarity) FILTER (turn = 1) - max(similarity) FILTER (turn = 2) >= 0.01, true) AS specific FROM routes GROUP BY 1",
     "hint_centroid_bypass": CENTROIDS + NEAR5 + """ SELECT query_id, global_id, n.shard_id, score, score < 0.9 AS by_hint FROM near5 n JOIN routes r USING (query_id) WHERE turn = 1 AND (score >= 0.9 OR n.shard_id = r.shard_id)""",
     "hint_signature_bypass": SHARDED + NEAR5 + """, hints AS (SELECT query_id, hex(arg_max(neighborhood_hint, (received_at, sent_at, neighborhood_hint))) AS hint FROM coordinate_request WHERE query_id IS NOT NULL AND octet_length(neighborhood_hint) > 0 GROUP BY 1),
-        far AS (SELECT n.*, len(list_filter(range(0, 64), lambda i: ((('0x' || substr(hint, ((i // 8) * 2 + 1)::INT, 2))::INT >> (i % 8)::INT) & 1 = 1) <> (v[i + 1] >= 0))) AS distance
+        far AS (SELECT n.*, hint, len(list_filter(range(0, 64), lambda i: ((('0x' || substr(hint, ((i // 8) * 2 + 1)::INT, 2))::INT >> (i % 8)::INT) & 1 = 1) <> (v[i + 1] >= 0))) AS distance
                 FROM near5 n LEFT JOIN hints USING (query_id) JOIN recs USING (global_id))
-        SELECT query_id, global_id, shard_id, score, score < 0.9 AS by_hint FROM far WHERE score >= 0.9 OR distance < 20""",
+        SELECT query_id, global_id, shard_id, score, score < 0.9 AS by_hint FROM far WHERE score >= 0.9 OR (hint IS NOT NULL AND distance < 20)""",
     "hint_sketch16": SHARDED + NEAR5 + """ SELECT query_id, global_id, n.shard_id, score, score < 0.9 AS by_hint FROM near5 n JOIN reqs USING (query_id) JOIN recs USING (global_id)
         WHERE score >= 0.9 OR round(1 / (1 + pow(list_distance(q[1:16], v[1:16]), 2)), 6) >= 0.8""",
     "response_hits": f"SELECT DISTINCT query_id, global_id, score::DOUBLE AS score FROM search_response WHERE {HITS}",
