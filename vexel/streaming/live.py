@@ -72,9 +72,16 @@ def windowed_hits(hits: DataFrame, *, late: str = "1 hour", length: str = "10 mi
 
 def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns the result table that it kept in memory; for tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # State with a timeout on the clock makes a batch without data whenever it can, so such a run would not end.
+    conf, name_ = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name_)
+    conf.set(name_, "false")
     try:
-        q.awaitTermination()
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        finally:
+            q.stop()
     finally:
-        q.stop()
+        conf.set(name_, before)
     return df.sparkSession.table(name)
