@@ -199,3 +199,24 @@ def near_duplicates(records: DataFrame, *, threshold: float = 0.8, floor: float
     by_vector = equal_vectors(rows.select("id", "vector", is_blank(F.col("chunk")).alias("blank")), floor=floor)
     none = F.lit(None).cast("double")
     return by_text.unionByName(by_vector.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), none.alias("similarity"), none.alias("edit")))
+
+
+def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """pairs(id_a, id_b) -> (id, group_id, links): connected records get the smallest id among them.
+
+    Each round a record takes the smallest label among its own, its neighbours' and that label's label, so chains shrink
+    fast; it ends when no label changes. Labels are written to the checkpoint folder each round."""
+    one = cut(pairs.select("id_a", "id_b").distinct())
+    both = one.unionByName(one.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    links = both.groupBy("id_a").agg(F.count_distinct("id_b").alias("links"), F.least(F.min("id_b"), F.first("id_a")).alias("label"))
+    label = cut(links.select(F.col("id_a").alias("id"), "links", "label"))
+    for _ in range(rounds):
+        near = both.join(label.select(F.col("id").alias("id_b"), F.col("label").alias("l")), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.min("l").alias("l"))
+        step = label.join(near, "id").withColumn("new", F.least("label", "l"))
+        jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
+        step = cut(step.join(jump, "new", "left").select("id", "links", F.least("new", F.coalesce("far", "new")).alias("new"), "label"))
+        moved = step.where(F.col("new") < F.col("label")).limit(1).count()
+        label = step.select("id", "links", F.col("new").alias("label"))
+        if not moved:
+            break
+    return label.select("id", F.col("label").alias("group_id"), "links")

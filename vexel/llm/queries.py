@@ -25,11 +25,34 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return omh.near_duplicates(records).select("id_a", "id_b")
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each record that has a near duplicate: its group (the smallest id of all that are linked) and its number of links."""
+    pairs = p2_found(spark, d)
+    return omh.groups(pairs).withColumnRenamed("id", "global_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = markov.clusters(vectors(spark, d), floor=0.90).where(F.col("whole") & (F.col("size") >= 5))
     return found.select("cluster_id", F.col("id").alias("global_id"))
 
 
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of two records or more: size, most typical members, whether all members are alike and none is like an outsider."""
+    found = markov.clusters(vectors(spark, d), floor=0.90).where(F.col("size") >= 2)
+    typical = F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("typical"), F.col("id").cast("string")))))
+    return found.groupBy("cluster_id").agg(F.first("size").alias("size"), F.first("whole").alias("whole"), typical.alias("typical"))
+
+
+def p3_hint_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of signatures at most 6 of 64 bits apart: each distinct hint counts once; its sign bits are a vector of 1 and -1."""
+    hints = read(spark, d, "coordinate_request").where(F.octet_length("neighborhood_hint") == 8).select(F.conv(F.hex("neighborhood_hint"), 16, -10).cast("bigint").alias("id"), "neighborhood_hint").distinct()
+    byte = lambda i: F.conv(F.hex(F.substring("neighborhood_hint", F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = lambda i: byte(i).bitwiseAND(F.pow(F.lit(2.0), i % 8).cast("int")) > 0
+    signs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(bit(i), 1.0).otherwise(-1.0).cast("float"))
+    found = markov.clusters(hints.select("id", signs.alias("vector")), floor=1 - 2 * 6 / 64)
+    return found.where(F.col("size") >= 2).select("cluster_id", F.col("id").alias("signature"), "size", "typical")
+
+
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     records = read(spark, d, "index_records").select(F.col("global_id").alias("id"), "vector", "chunk")
     return facility.varied_subset(records, share=0.02).withColumnRenamed("id", "global_id")
@@ -44,6 +67,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 LAST_ID = 2**63 - 1 - 101
 
 
+def p5_copies(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each set of equal chunks, and the number of its copies."""
+    kept = radix.collapse(read(spark, d, "index_records").select(F.col("global_id").alias("id"), canonical(F.col("chunk")).alias("canon")))
+    return kept.where(F.col("id") == F.col("keep")).select(F.col("keep").alias("keep_id"), "copies")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     hits = read(spark, d, "search_response").where(F.col("global_id") <= LAST_ID)
     items = hits.select(F.col("query_id").alias("grp"), F.col("global_id").alias("id"), "score")
@@ -60,6 +89,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(texts(spark, d), items).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 12 words with at most one word changed, left out or added."""
+    items = read(spark, d, "eval_items").select(F.col("item_id").alias("item"), "text")
+    return leak.leaks(texts(spark, d), items, edits=1).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits")
+
+
 def mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.octet_length("text").alias("size"))
     targets = read(spark, d, "mix_targets").select(F.col("plan_id").alias("plan"), F.col("total_ratio").alias("ratio"), "source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
@@ -74,13 +109,60 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixed(spark, d)[1].withColumnRenamed("plan", "plan_id")
 
 
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    """What each plan takes of each document."""
+    return mixed(spark, d)[0].select(F.col("plan").alias("plan_id"), "source", F.col("id").alias("doc_id"), "tokens", "times")
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document is shared with others."""
+    t = texts(spark, d)
+    return spans.shares(t, spans.shared_spans(t, span=300)).withColumnRenamed("id", "doc_id")
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy passages: chains of shared seeds with what their gaps and ends align to."""
+    return spans.passages(texts(spark, d), span=300).withColumnsRenamed({"id": "doc_id", "other": "other_id"})
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = spans.shared_spans(texts(spark, d), span=300)
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_subset": p4_subset, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found}
+NAMES = """
+p1_found p2_found p2_groups p3_found p3_clusters p3_hint_clusters p4_subset p5_found p5_copies p6_found p7_found p7_near
+p8_found p8_report p8_copies p9_found p9_share p9_passages
+""".split()
+QUERIES = {name: globals()[name] for name in NAMES}
+VALID = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+CANON = """list_sort(list_filter(list_transform(string_split(lower(chunk), '|'), lambda f: regexp_replace(f, '[^\\p{L}\\p{N}]+', '', 'g')), lambda f: f <> ''))"""
+COPIES = f"""
+    WITH one AS (SELECT global_id, any_value({CANON}) AS canon FROM index_records WHERE chunk IS NOT NULL GROUP BY 1),
+    kept AS (SELECT *, min(global_id) OVER (PARTITION BY canon) AS keep_id, count(*) OVER (PARTITION BY canon) AS copies FROM one WHERE len(canon) > 0)
+"""
+GRAMS = """list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i+11], ' '))"""
 SQL: dict[str, str] = {
+    "p3_found": f"""
+        WITH r AS (SELECT global_id, any_value(vector::DOUBLE[]) AS v FROM index_records WHERE {VALID} GROUP BY 1),
+        n AS (SELECT a.global_id, list(b.global_id ORDER BY b.global_id) AS near FROM r a JOIN r b ON list_cosine_similarity(a.v, b.v) >= 0.9 OR a.global_id = b.global_id GROUP BY 1)
+        SELECT min(global_id) OVER (PARTITION BY near) AS cluster_id, global_id FROM n QUALIFY count(*) OVER (PARTITION BY near) = len(near) AND len(near) >= 5
+    """,
+    "p5_found": COPIES + "SELECT keep_id, global_id AS dup_id FROM kept WHERE global_id <> keep_id",
+    "p5_copies": COPIES + "SELECT DISTINCT keep_id, copies FROM kept",
+    "p7_found": f"""
+        WITH items AS (SELECT item_id, unnest({GRAMS}) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items) WHERE len(w) >= 12),
+        docs AS (SELECT doc_id, unnest({GRAMS}) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents) WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM docs JOIN items USING (g)
+    """,
+    "p9_found": """
+        WITH w AS (SELECT doc_id, unnest(range(0, length(text) - 299)) AS p, text FROM documents WHERE length(text) >= 300),
+        h AS (SELECT doc_id, p, md5_number_lower(substr(text, p + 1, 300)) AS h FROM w),
+        s AS (SELECT h FROM h GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+        f AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 300 OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS fresh FROM h SEMI JOIN s USING (h)),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f)
+        SELECT doc_id, min(p)::INT AS span_start, (max(p) + 300)::INT AS span_end FROM g GROUP BY doc_id, run
+    """,
     "p8_found": """
         WITH docs AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL),
         good AS (SELECT * FROM docs WHERE source <> ''),
