@@ -32,6 +32,8 @@ class Cells:
 
     def near(self, x: np.ndarray, probes: int) -> np.ndarray:
         """[rows, probes] nearest cells, nearest first."""
+        if len(self.centroids) == 1:
+            return np.zeros((len(x), 1), np.int64)
         sims = unit(unit(x) - self.mean) @ self.centroids.T
         probes = min(probes, sims.shape[1])
         if probes == 1:

@@ -56,7 +56,7 @@ def is_blank(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The bytes that equal chunks share: fields between `|`, lower-cased, letters and digits only, empty ones dropped, in sorted order.
 
-    A null text gives null and a blank one "". A text without `|` is one field."""
+    A null or blank text gives "". A text without `|` is one field."""
     fields = F.transform(F.split(F.lower(text), r"\|"), lambda f: F.regexp_replace(f, NOT_WORD, ""))
     return F.concat_ws("|", F.array_sort(F.filter(fields, lambda f: f != "")))
 

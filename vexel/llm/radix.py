@@ -2,7 +2,7 @@
 
 Canonical texts are counted first by text and a salt, so that a text with a large share of all rows becomes a few rows.
 Buckets are prefixes of the canonical bytes. A level counts the rows under each prefix; what is under a small enough prefix
-is a bucket, the rest is split by `step` further bytes, until each bucket fits. A bucket goes into a path-compressed trie
+is a bucket, the rest is split by as many further bytes again, until each bucket fits. A bucket goes into a path-compressed trie
 whose terminal nodes count copies and hold the smallest id."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Distinct salted texts that a bucket may hold, bytes that a level adds, and parts that the copies of one text fall into.
+#: Distinct salted texts that a bucket may hold, bytes of the first level, and parts that the copies of one text fall into.
 FITS, STEP, SALTS = 20_000, 2, 16
 #: Beyond this length a bucket is cut by a hash of the whole text instead: no more prefix bytes are tried.
 LONGEST = 64
@@ -78,11 +78,11 @@ def buckets(partial: DataFrame, fits: int = FITS, step: int = STEP) -> DataFrame
         if length > LONGEST or not large.limit(1).count():
             last = todo.withColumn("bucket", prefix)
             return last if done is None else done.unionByName(last)
-        split = todo.withColumn("bucket", prefix).join(large, F.col("bucket") == F.col("large"), "left")
+        split = cut(todo.withColumn("bucket", prefix).join(large, F.col("bucket") == F.col("large"), "left"))
         fit = split.where(F.col("large").isNull()).drop("large")
         done = fit if done is None else done.unionByName(fit)
         todo = split.where(F.col("large").isNotNull()).drop("large", "bucket")
-        length += step
+        length *= 2
 
 
 def collapse(texts: DataFrame, *, fits: int = FITS, step: int = STEP, salts: int = SALTS) -> DataFrame:
