@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import cells as routing
 from .common import cosine, is_valid, mix64, unit, vectors_of
 
-DEGREE, BEAM, ALPHA, OPEN, ENTRIES = 24, 40, 1.2, 4, 48
+DEGREE, BEAM, ALPHA, OPEN, ENTRIES = 32, 40, 1.2, 4, 256
 #: Queries that walk at once: bounds the tables of seen vectors.
 BLOCK = 512
 #: Vectors that a shard should hold; one with more than twice as many is split.
@@ -159,7 +159,7 @@ def search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray,
         r, c = np.nonzero((sims >= floor) & (ids >= 0) & ~wide[:, None])
         out.append((r, ids[r, c], sims[r, c]))
         todo = np.nonzero(wide)[0]
-    size = np.minimum(len(x), np.maximum(4 * beam if floor is not None else 2 * beam, (1.5 * k[todo]).astype(np.int64) + 24))
+    size = np.minimum(len(x), np.maximum(5 * beam if floor is not None else 2 * beam, (1.5 * k[todo]).astype(np.int64) + 24))
     size = np.minimum(len(x), 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     for wide_beam in np.unique(size):
         own = todo[size == wide_beam]
