@@ -46,7 +46,10 @@ def barrier(vectors: DataFrame, queries: DataFrame, *, tasks: int | None = None)
     the k-th best of all. Needs as many free slots as tasks; tasks is cut to the default parallelism."""
     spark = vectors.sparkSession
     slots = max(1, spark.sparkContext.defaultParallelism)
-    rows = vectors.select("shard_id", "parent_id", "global_id", "vector").coalesce(min(slots, tasks or slots))
+    rows = vectors.select("shard_id", "parent_id", "global_id", "vector")
+    if rows.rdd.getNumPartitions() > min(slots, tasks or slots):
+        # A barrier stage may not merge partitions of its input itself, so this is a shuffle and not coalesce().
+        rows = rows.repartition(min(slots, tasks or slots))
     out = None
     for t in search.query_blocks(queries.select("query_id", "vector", "k"), EXCHANGE):
         q, ids, k = search.matrix(t["vector"]), t["query_id"].combine_chunks(), t["k"].to_numpy().astype(np.int64)
@@ -78,9 +81,10 @@ def barrier(vectors: DataFrame, queries: DataFrame, *, tasks: int | None = None)
             ok = s >= floor[r]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(r[ok])), pa.array(shard[ok].astype(np.int32)), pa.array(parent[ok]), pa.array(gid[ok]), pa.array(s[ok]), pa.array(k[r[ok]].astype(np.int32))], names=["query_id", "shard_id", "parent_id", "global_id", "score", "k"])
 
-        part = rows.mapInArrow(run, search.HITS, barrier=True)
+        # Each block of queries is ranked before the union: a barrier stage may not hold a union itself.
+        part = search.ranked(search.once(rows.mapInArrow(run, search.HITS, barrier=True)), "query_id").where(F.col("rank") <= F.col("k"))
         out = part if out is None else out.unionByName(part)
-    return search.ranked(search.once(out), "query_id").where(F.col("rank") <= F.col("k"))
+    return out
 
 
 def finite(updates: DataFrame) -> DataFrame:

@@ -31,10 +31,10 @@ def two_phase(vectors: DataFrame, queries: DataFrame, *, probe: int = 5, enough:
     """As search.top, with phase: a probe takes `probe` records of each shard; a query with `enough` of them at `confidence`
     is answered by them (phase 1), any other by a full search of the shards that are in the probe's top k (phase 2)."""
     first = search.per_shard(vectors, queries, k=probe).drop("rank")
-    sure = first.groupBy("query_id").agg((F.count_if(F.col("score") >= confidence) >= enough).alias("sure"))
-    quick = search.ranked(first, "query_id").where(F.col("rank") <= F.col("k")).join(sure, "query_id")
-    deep = queries.join(sure.where(~F.col("sure")), "query_id", "left_semi")
-    slow = restricted(vectors, deep, quick)
+    certain = F.count_if(F.col("score") >= confidence).over(Window.partitionBy("query_id")) >= enough
+    quick = search.ranked(first.withColumn("sure", certain), "query_id").where(F.col("rank") <= F.col("k"))
+    unsure = quick.where(~F.col("sure")).select("query_id", "shard_id").distinct()
+    slow = restricted(vectors, queries.join(unsure, "query_id", "left_semi"), unsure)
     return quick.where("sure").drop("sure").withColumn("phase", F.lit(1)).unionByName(slow.withColumn("phase", F.lit(2)))
 
 
