@@ -203,9 +203,12 @@ def most_similar(records: DataFrame, queries: DataFrame, *, floor: float | None
     asked = queries.where(F.col("id").isNotNull() & is_valid(F.col("vector"))).groupBy("id").agg(F.min_by(F.struct("vector", "k"), F.struct(F.xxhash64("vector"), "k")).alias("x"))
     asked = asked.select("id", F.col("x.vector").alias("vector"), F.when(F.col("x.k") >= 1, F.col("x.k")).otherwise(default_k).alias("k"))
     cells = routing.fit(rows, records.count(), target=target, cap=2 * target)
-    # Equal vectors: the smallest id stands for all; salted first, as one vector may have a large share of all rows.
-    salted = rows.groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt")).agg(F.min("id").alias("id"))
-    nodes = salted.groupBy("vector").agg(F.min("id").alias("id"))
+    # Equal vectors, known by 128 bits of hash: the smallest id stands for all; salted first, as one vector may have a large
+    # share of all rows. Vectors themselves are shuffled only for the ids that stand for themselves.
+    keyed = rows.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2"))
+    salted = keyed.groupBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt")).agg(F.min("id").alias("id"))
+    standing = salted.groupBy("h1", "h2").agg(F.min("id").alias("node"))
+    nodes = rows.join(standing.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
 
     def group(key: tuple, data: pa.Table, queries: pa.Table) -> pa.Table:
         return search_shards(key, data, queries, floor)
@@ -215,7 +218,7 @@ def most_similar(records: DataFrame, queries: DataFrame, *, floor: float | None
     # Copies of a node: no more of them can be hits than the largest k, so each node's list stays short.
     most = F.coalesce(F.lit(asked.agg(F.max("k")).first()[0]), F.lit(1))
     by_node = Window.partitionBy("node").orderBy("id")
-    pairs = rows.select("vector", "id").join(nodes.select("vector", F.col("id").alias("node")), "vector").where(F.col("id") != F.col("node")).select("node", "id").distinct()
+    pairs = keyed.join(standing, ["h1", "h2"]).where(F.col("id") != F.col("node")).select("node", "id").distinct()
     copies = pairs.withColumn("n", F.row_number().over(by_node)).where(F.col("n") < most).groupBy("node").agg(F.collect_list("id").alias("others"))
     full = hits.select(F.col("id").alias("query_id"), "node", "score").join(copies, "node", "left")
     full = full.select("query_id", "score", F.explode(F.concat(F.array("node"), F.coalesce("others", F.array().cast("array<bigint>")))).alias("id"))
