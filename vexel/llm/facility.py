@@ -111,7 +111,7 @@ def varied_subset(records: DataFrame, *, share: float | None = None, count: int
     """records(id bigint, vector, chunk) -> (id): `count` ids, or ceil(share * number of distinct ids), that cover the variety.
 
     Null ids take no part; of rows with the same id one counts. Records with neither a valid vector nor words are like no
-    other and come last among equal gains only by chance of the hash, as any record alone does. More ids than there are
+    other record and gain as much as any record that stands alone; equal gains go by a hash of the id. More ids than there are
     gives all; an empty table gives no rows. Further columns are ignored."""
     one = features(records.where(F.col("id").isNotNull()).dropDuplicates(["id"]))
     total = records.where(F.col("id").isNotNull()).select("id").distinct().count()
