@@ -188,6 +188,20 @@ def test_cluster_with_a_neighbour_outside_is_not_whole(spark):
     assert all(r["whole"] == all(set(np.nonzero(alike[i])[0]) == {j for j, o in rows.items() if o["cluster_id"] == r["cluster_id"]} for i in [k for k, o in rows.items() if o["cluster_id"] == r["cluster_id"]]) for r in rows.values())
 
 
+def test_parts_of_a_cell_are_linked(spark, vectors, monkeypatch):
+    x, df = vectors
+    fitted = cells.fit
+    monkeypatch.setattr(cells, "fit", lambda v, rows, **k: fitted(v, rows, cap=30, **k))
+    rows = markov.clusters(df, floor=0.90).collect()
+    sizes = collections.Counter(r["cluster_id"] for r in rows if r["id"] < 48)
+    assert sizes == dict.fromkeys(range(0, 48, 8), 8)
+
+
+def test_flow_keeps_records_near_many_landmarks(spark):
+    edges = spark.createDataFrame([(i, 1000 + j, 0.95) for i in range(30) for j in range(60)], "id bigint, landmark bigint, weight double")
+    assert {r["cluster"] for r in markov.supports(markov.flow(edges)).where("id < 30").collect()} == {0}
+
+
 # ---- 4
 
 

@@ -1,13 +1,15 @@
 """Similarity clusters by Markov clustering of a sparse similarity graph.
 
 Graph: every record is linked to the landmarks within the similarity floor that it meets in the cells it visits. The
-landmarks of a part of a cell are picked greedily, so that each data row of the part is a landmark or near one; a dense
-group of m records costs about m edges instead of m * m. The same pass counts each record's neighbours exactly and sums
+landmarks of a part of a cell are picked greedily from its data rows alone, so that each of them is a landmark or near one
+and all queries of the cell, however they are split, meet the same landmarks; a dense group of m records costs about m edges
+for each part instead of m * m. The same pass counts each record's neighbours exactly and sums
 their hashes, which later tells whether a cluster is complete and closed.
 
-Clustering: columns of the flow matrix start as lazy random walks (a loop as heavy as all edges of the node). A round
-squares the matrix by a join on the shared index, raises entries to the power `inflation`, and drops those under `prune`,
-so that a column never holds more than 1 / prune entries. Rows that keep flow are attractors; their supports, joined where
+Clustering: columns of the flow matrix start as lazy random walks (a loop as heavy as all edges of a
+landmark, or as the heaviest edge of another record, so that one near many landmarks doesn't keep to itself). A round
+squares the matrix by a join on the shared index, raises entries to the power `inflation`, and drops those under `prune`
+unless they are among the column's largest, so that a column never holds more than 1 / prune entries and never runs empty. Rows that keep flow are attractors; their supports, joined where
 they overlap, are the clusters; members with the strongest inflow represent them."""
 
 from __future__ import annotations
@@ -51,6 +53,23 @@ def once(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, vectors_of(t["vector"])[at] if len(ids) else np.empty((0, 1), np.float32)
 
 
+def landmarks(ids: np.ndarray, x: np.ndarray, floor: float) -> np.ndarray:
+    """Rows such that every row is one or within the floor of one: greedy, by a hash of the id. They depend on the rows alone."""
+    left = np.argsort(mix64(ids, 2))
+    chosen: list[np.ndarray] = []
+    while len(left):
+        block, rest = left[:256], left[256:]
+        near = x[block] @ x[block].T >= floor
+        free, pick = np.ones(len(block), bool), []
+        for i in range(len(block)):
+            if free[i]:
+                pick.append(i)
+                free &= ~near[i]
+        chosen.append(block[pick])
+        left = rest[~(x[rest] @ x[block[pick]].T >= floor).any(axis=1)]
+    return np.concatenate(chosen) if chosen else np.array([], np.int64)
+
+
 def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
     """For each query of a part: number and hash sum of its neighbours here (landmark null), and its edges to landmarks."""
     ids, raw = once(data)
@@ -68,23 +87,13 @@ def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
             begin = np.cumsum(n) - n
             total = np.concatenate([[0], np.cumsum(marks[c])])
             found.append((some + at, n[some], total[begin[some] + n[some]] - total[begin[some]]))
-        # landmarks: data rows that have a neighbour, by a hash of the id
-        todo = np.zeros(len(x), bool)
-        busy = np.isin(ids, qids[np.concatenate([f[0] for f in found])]) if found else todo
-        todo[:] = busy
-        chosen = []
-        for i in np.argsort(mix64(ids, 2)):
-            if todo[i]:
-                chosen.append(i)
-                todo &= x @ x[i] < floor
         for f in found:
             rows.append((qids[f[0]], np.full(len(f[0]), -1), np.zeros(len(f[0])), f[1], f[2], mark_of(qids[f[0]])))
-        if chosen:
-            pick = np.array(chosen)
-            for at in range(0, len(q), BLOCK):
-                r, c, v = near_pairs(q[at : at + BLOCK], x[pick], raw_q[at : at + BLOCK], raw[pick], floor)
-                keep = qids[r + at] != ids[pick[c]]
-                rows.append((qids[r + at][keep], pick[c][keep], v[keep], *[np.zeros(keep.sum(), np.int64)] * 3))
+        pick = landmarks(ids, x, floor)
+        for at in range(0, len(q), BLOCK):
+            r, c, v = near_pairs(q[at : at + BLOCK], x[pick], raw_q[at : at + BLOCK], raw[pick], floor)
+            keep = qids[r + at] != ids[pick[c]]
+            rows.append((qids[r + at][keep], pick[c][keep], v[keep], *[np.zeros(keep.sum(), np.int64)] * 3))
     id_, lm, w, deg, mark, own = (np.concatenate(a) if rows else np.array([], float) for a in (zip(*rows) if rows else [[]] * 6))
     none = lm < 0
     return pa.table({"id": pa.array(id_.astype(np.int64)), "landmark": pa.array(ids[np.where(none, 0, lm).astype(np.int64)] if len(lm) else np.array([], np.int64), mask=none), "weight": pa.array(w.astype(float)), "degree": pa.array(deg.astype(np.int64)), "mark": pa.array(mark.astype(np.int64)), "own": pa.array(own.astype(np.int64))})
@@ -108,10 +117,14 @@ def flow(edges: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, round
     Stops when no column is further than `settled` from even flow between its attractors (largest entry minus sum of
     squares), or after `rounds`. Self edges are ignored, repeated ones count once, both directions are taken."""
     one = edges.where(F.col("id") != F.col("landmark")).groupBy("id", "landmark").agg(F.max("weight").alias("w"))
-    both = one.select(F.col("id").alias("col"), F.col("landmark").alias("row"), "w").unionByName(one.select(F.col("landmark").alias("col"), F.col("id").alias("row"), "w")).groupBy("col", "row").agg(F.max("w").alias("w"))
-    total = both.groupBy("col").agg(F.sum("w").alias("w"))
-    m = both.join(total.withColumnRenamed("w", "total"), "col").select("col", "row", (F.col("w") / F.col("total") / 2).alias("value"))
-    m = m.where(F.col("value") >= prune).unionByName(total.select("col", F.col("col").alias("row"), F.lit(0.5).alias("value")))
+    both = one.select(F.col("id").alias("col"), F.col("landmark").alias("row"), "w").withColumn("hub", F.lit(False)).unionByName(one.select(F.col("landmark").alias("col"), F.col("id").alias("row"), "w", F.lit(True).alias("hub"))).groupBy("col", "row").agg(F.max("w").alias("w"), F.max("hub").alias("hub"))
+    total = both.groupBy("col").agg(F.sum("w").alias("w"), F.when(F.max("hub"), F.sum("w")).otherwise(F.max("w")).alias("loop"))
+    total = total.select("col", (F.col("w") + F.col("loop")).alias("total"), "loop")
+    most = Window.partitionBy("col").orderBy(F.desc("value"), "row")
+    # Where all entries are small, as those of a record near many landmarks, the largest stay.
+    kept = lambda df: df.withColumn("n", F.row_number().over(most)).withColumn("top", F.max("value").over(Window.partitionBy("col"))).where((F.col("n") <= round(1 / prune)) & (F.col("value") >= F.least(F.lit(prune), F.col("top") / 2))).drop("n", "top")
+    m = both.join(total, "col").select("col", "row", (F.col("w") / F.col("total")).alias("value"))
+    m = kept(m).unionByName(total.select("col", F.col("col").alias("row"), (F.col("loop") / F.col("total")).alias("value")))
     column = Window.partitionBy("col")
     normal = lambda df: df.withColumn("value", F.col("value") / F.sum("value").over(column))
     m = cut(normal(m))
@@ -120,7 +133,7 @@ def flow(edges: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, round
         step = m.select("col", F.col("row").alias("via"), F.col("value").alias("v")).join(lists, "via").select("col", "v", F.explode("entries").alias("e"))
         squared = step.groupBy("col", F.col("e.row").alias("row")).agg(F.sum(F.col("v") * F.col("e.value")).alias("value"))
         inflated = normal(squared.withColumn("value", F.pow("value", F.lit(inflation))))
-        m = cut(normal(inflated.where(F.col("value") >= prune)))
+        m = cut(normal(kept(inflated)))
         chaos = m.groupBy("col").agg((F.max("value") - F.sum(F.col("value") * F.col("value"))).alias("c")).agg(F.max("c")).first()[0]
         if chaos is None or chaos < settled:
             break
