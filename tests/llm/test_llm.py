@@ -195,6 +195,7 @@ def test_parts_of_a_cell_are_linked(spark, vectors, monkeypatch):
     rows = markov.clusters(df, floor=0.90).collect()
     sizes = collections.Counter(r["cluster_id"] for r in rows if r["id"] < 48)
     assert sizes == dict.fromkeys(range(0, 48, 8), 8)
+    assert all(r["whole"] for r in rows if r["id"] < 48)  # also where a part holds one member only
 
 
 def test_flow_keeps_records_near_many_landmarks(spark):

@@ -71,7 +71,7 @@ def landmarks(ids: np.ndarray, x: np.ndarray, floor: float) -> np.ndarray:
 
 
 def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
-    """For each query of a part: number and hash sum of its neighbours here (landmark null), and its edges to landmarks."""
+    """For each query of a part: number and hash sum of the others near it here (landmark null), and its edges to landmarks."""
     ids, raw = once(data)
     qids, raw_q = once(queries)
     rows: list[tuple[np.ndarray, ...]] = []
@@ -81,9 +81,10 @@ def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(q), BLOCK):
             r, c, v = near_pairs(q[at : at + BLOCK], x, raw_q[at : at + BLOCK], raw, floor)
-            other = ids[c] != qids[r + at]
+            other = ids[c] != qids[r + at]  # the record itself is counted in clusters(), wherever its home is
+            r, c = r[other], c[other]
             n = np.bincount(r, minlength=min(BLOCK, len(q) - at))
-            some = np.nonzero(np.bincount(r[other], minlength=len(n)) > 0)[0]  # records alone in this part say nothing
+            some = np.nonzero(n)[0]
             begin = np.cumsum(n) - n
             total = np.concatenate([[0], np.cumsum(marks[c])])
             found.append((some + at, n[some], total[begin[some] + n[some]] - total[begin[some]]))
@@ -169,7 +170,7 @@ def clusters(vectors: DataFrame, *, floor: float, inflation: float = 2.0, typica
     matrix = flow(found.where(F.col("landmark").isNotNull()).select("id", "landmark", "weight"), inflation=inflation)
     member = supports(matrix)
     inflow = matrix.groupBy(F.col("row").alias("id")).agg(F.sum("value").alias("inflow"))
-    stats = found.where(F.col("landmark").isNull()).groupBy("id").agg(F.sum("degree").alias("degree"), F.sum("mark").alias("mark"), F.max("own").alias("own"))
+    stats = found.where(F.col("landmark").isNull()).groupBy("id").agg((F.sum("degree") + 1).alias("degree"), (F.sum("mark") + F.max("own")).alias("mark"), F.max("own").alias("own"))
     full = member.join(stats, "id", "left").join(inflow, "id", "left")
     by = full.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"), F.min("degree").alias("d0"), F.max("degree").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.sum("own").alias("own_sum"))
     whole = (F.col("d0") == F.col("size")) & (F.col("d1") == F.col("size")) & (F.col("m0") == F.col("m1")) & (F.col("m0") == F.col("own_sum"))
