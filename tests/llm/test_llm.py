@@ -198,6 +198,16 @@ def test_parts_of_a_cell_are_linked(spark, vectors, monkeypatch):
     assert all(r["whole"] for r in rows if r["id"] < 48)  # also where a part holds one member only
 
 
+def test_group_over_many_cells_is_whole(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    group = unit(unit(rng.standard_normal((1, DIM))) + 0.02 * rng.standard_normal((120, DIM)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([group, unit(rng.standard_normal((60, DIM)))]))], "id bigint, vector array<float>")
+    fitted = cells.fit
+    monkeypatch.setattr(cells, "fit", lambda v, rows, **k: fitted(v, rows, target=15, **k))
+    rows = [r for r in markov.clusters(df, floor=0.90).collect() if r["id"] < 120]
+    assert {(r["cluster_id"], r["size"], r["whole"]) for r in rows} == {(0, 120, True)} and len(rows) == 120
+
+
 def test_flow_keeps_records_near_many_landmarks(spark):
     edges = spark.createDataFrame([(i, 1000 + j, 0.95) for i in range(30) for j in range(60)], "id bigint, landmark bigint, weight double")
     assert {r["cluster"] for r in markov.supports(markov.flow(edges)).where("id < 30").collect()} == {0}

@@ -93,10 +93,25 @@ def home(vectors: DataFrame, cells: Cells, extra: str = "", spread: bool = False
     return vectors.select("id", "vector", *names).mapInArrow(place, "cell int, part int, other int, id bigint, vector binary" + (", " + extra if extra else ""))
 
 
+def places(vectors: DataFrame, cells: Cells, probes: int) -> DataFrame:
+    """vectors(id bigint, vector) -> (id, visits array<int>): the `probes` nearest cells, the home cell first."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near = cells.near(vectors_of(b.column("vector")), probes)
+            offsets = np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, pa.array(near.ravel(), pa.int32()))], names=["id", "visits"])
+
+    return vectors.select("id", "vector").mapInArrow(place, "id bigint, visits array<int>")
+
+
 def visit(queries: DataFrame, cells: Cells, probes: int, extra: str = "", spread: bool = False) -> DataFrame:
     """queries(id, vector, ...) -> (cell, part, other, id, vector binary, ...): a row for each part of the `probes` nearest cells.
 
-    spread: queries are split into as many parts as the cell (column other), to go with home(spread=True)."""
+    spread: queries are split into as many parts as the cell (column other), to go with home(spread=True). With 0 probes a
+    query visits the one cell named in its column `at`."""
     names = [x.split()[0] for x in extra.split(",") if x.strip()]
     kind = dict(queries.dtypes)["id"]
 
@@ -105,9 +120,9 @@ def visit(queries: DataFrame, cells: Cells, probes: int, extra: str = "", spread
             if not b.num_rows:
                 continue
             x = vectors_of(b.column("vector"))
-            row, cell, part = expand(cells.near(x, probes), cells.parts)
+            row, cell, part = expand(cells.near(x, probes) if probes else b.column("at").to_numpy()[:, None], cells.parts)
             other = (mix64(b.column("id").to_numpy(), 1)[row] % cells.parts[cell].astype(np.uint64)).astype(np.int64) if spread else np.zeros(len(row), np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(other, pa.int32()), b.column("id").take(take), binary_of(x[row]), *[b.column(n).take(take) for n in names]], names=["cell", "part", "other", "id", "vector", *names])
 
-    return queries.select("id", "vector", *names).mapInArrow(place, f"cell int, part int, other int, id {kind}, vector binary" + (", " + extra if extra else ""))
+    return queries.select("id", "vector", *names, *([] if probes else ["at"])).mapInArrow(place, f"cell int, part int, other int, id {kind}, vector binary" + (", " + extra if extra else ""))

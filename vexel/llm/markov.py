@@ -70,8 +70,8 @@ def landmarks(ids: np.ndarray, x: np.ndarray, floor: float) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.array([], np.int64)
 
 
-def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
-    """For each query of a part: number and hash sum of the others near it here (landmark null), and its edges to landmarks."""
+def link_part(data: pa.Table, queries: pa.Table, floor: float, edges: bool = True) -> pa.Table:
+    """For each query of a part: number and hash sum of the others near it here (landmark null), and its edges to landmarks if wanted."""
     ids, raw = once(data)
     qids, raw_q = once(queries)
     rows: list[tuple[np.ndarray, ...]] = []
@@ -90,8 +90,8 @@ def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
             found.append((some + at, n[some], total[begin[some] + n[some]] - total[begin[some]]))
         for f in found:
             rows.append((qids[f[0]], np.full(len(f[0]), -1), np.zeros(len(f[0])), f[1], f[2], mark_of(qids[f[0]])))
-        pick = landmarks(ids, x, floor)
-        for at in range(0, len(q), BLOCK):
+        pick = landmarks(ids, x, floor) if edges else []
+        for at in range(0, len(q), BLOCK) if edges else ():
             r, c, v = near_pairs(q[at : at + BLOCK], x[pick], raw_q[at : at + BLOCK], raw[pick], floor)
             keep = qids[r + at] != ids[pick[c]]
             rows.append((qids[r + at][keep], pick[c][keep], v[keep], *[np.zeros(keep.sum(), np.int64)] * 3))
@@ -100,10 +100,8 @@ def link_part(data: pa.Table, queries: pa.Table, floor: float) -> pa.Table:
     return pa.table({"id": pa.array(id_.astype(np.int64)), "landmark": pa.array(ids[np.where(none, 0, lm).astype(np.int64)] if len(lm) else np.array([], np.int64), mask=none), "weight": pa.array(w.astype(float)), "degree": pa.array(deg.astype(np.int64)), "mark": pa.array(mark.astype(np.int64)), "own": pa.array(own.astype(np.int64))})
 
 
-def links(vectors: DataFrame, *, floor: float, probes: int = 2) -> DataFrame:
-    """vectors(id bigint, vector) -> LINKS, written to the checkpoint folder. Invalid vectors and null ids take no part; a repeated id counts once."""
-    rows = vectors.where(F.col("id").isNotNull() & is_valid(F.col("vector"))).select("id", "vector")
-    cells = routing.fit(rows, rows.count())
+def links(rows: DataFrame, cells: routing.Cells, *, floor: float, probes: int = 2) -> DataFrame:
+    """rows(id bigint, vector), all valid -> LINKS, written to the checkpoint folder. A repeated id counts once."""
     at = ["cell", "part", "other"]
 
     def group(key: tuple, data: pa.Table, queries: pa.Table) -> pa.Table:
@@ -112,6 +110,20 @@ def links(vectors: DataFrame, *, floor: float, probes: int = 2) -> DataFrame:
     return cut(routing.home(rows, cells, spread=True).groupBy(*at).cogroup(routing.visit(rows, cells, probes, spread=True).groupBy(*at)).applyInArrow(group, LINKS))
 
 
+def rest(rows: DataFrame, member: DataFrame, cells: routing.Cells, *, floor: float, probes: int = 2) -> DataFrame:
+    """Statistics of each member(id, cluster) in the home cells of its cluster that it has not visited: LINKS without edges."""
+    at = ["cell", "part", "other"]
+
+    def group(key: tuple, data: pa.Table, queries: pa.Table) -> pa.Table:
+        return link_part(data, queries, floor, edges=False)
+
+    place = member.join(routing.places(rows, cells, probes).dropDuplicates(["id"]), "id")
+    homes = place.select("cluster", F.element_at("visits", 1).alias("cell")).distinct()
+    todo = place.join(homes, "cluster").where(~F.array_contains("visits", F.col("cell"))).groupBy("id").agg(F.collect_set("cell").alias("cells"))
+    queries = rows.join(todo, "id").select("id", "vector", F.explode("cells").alias("at"))
+    return routing.home(rows, cells, spread=True).groupBy(*at).cogroup(routing.visit(queries, cells, 0, spread=True).groupBy(*at)).applyInArrow(group, LINKS)
+
+
 def flow(edges: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, rounds: int = 4, settled: float = 1e-3) -> DataFrame:
     """edges(id, landmark, weight) -> the flow matrix after Markov clustering: (col, row, value), the values of a column adding up to 1.
 
@@ -163,21 +175,30 @@ def clusters(vectors: DataFrame, *, floor: float, inflation: float = 2.0, typica
     One row for each valid vector; null ids and invalid vectors have none, repeated ids have one. cluster_id is the
     smallest id of the cluster; records near no other are clusters of size 1. inflow: the flow that the record receives
     from all members; typical: it is among the `typical` strongest of its cluster (ties by id). whole: every two members
-    are within the floor of each other and no member is within it of a record outside, checked on exact neighbour counts.
+    are within the floor of each other and no member is within it of a record outside, checked on neighbour counts: of each
+    member in all cells that it visits and in all cells where members of its cluster are at home. Only a record outside in
+    a cell that the member neither visits nor finds its cluster in goes unseen.
     Empty tables give no rows; further columns are ignored."""
     rows = vectors.where(F.col("id").isNotNull() & is_valid(F.col("vector"))).select("id", "vector")
-    found = links(rows, floor=floor, probes=probes)
+    cells = routing.fit(rows, rows.count())
+    found = links(rows, cells, floor=floor, probes=probes)
     matrix = flow(found.where(F.col("landmark").isNotNull()).select("id", "landmark", "weight"), inflation=inflation)
-    member = supports(matrix)
+    member = cut(supports(matrix))
     inflow = matrix.groupBy(F.col("row").alias("id")).agg(F.sum("value").alias("inflow"))
-    stats = found.where(F.col("landmark").isNull()).groupBy("id").agg((F.sum("degree") + 1).alias("degree"), (F.sum("mark") + F.max("own")).alias("mark"), F.max("own").alias("own"))
-    full = member.join(stats, "id", "left").join(inflow, "id", "left")
-    by = full.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"), F.min("degree").alias("d0"), F.max("degree").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.sum("own").alias("own_sum"))
-    whole = (F.col("d0") == F.col("size")) & (F.col("d1") == F.col("size")) & (F.col("m0") == F.col("m1")) & (F.col("m0") == F.col("own_sum"))
-    by = by.select("cluster", "cluster_id", "size", F.coalesce(whole, F.lit(False)).alias("whole"))
+    counts = found.where(F.col("landmark").isNull())
+    if len(cells.centroids) > probes:
+        counts = counts.unionByName(rest(rows, member, cells, floor=floor, probes=probes))
+    stats = counts.groupBy("id").agg((F.sum("degree") + 1).alias("degree"), (F.sum("mark") + F.max("own")).alias("mark"), F.max("own").alias("own"))
+    full = cut(stats.join(member, "id", "full").join(inflow, "id", "left"))
+    # Records that have the same neighbours and are as many as these are a complete and closed group, whatever the flow made of it.
+    same = full.groupBy("degree", "mark").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("own").alias("own_sum"))
+    same = same.where((F.col("n") == F.col("degree")) & (F.col("own_sum") == F.col("mark"))).select("degree", "mark", "first")
+    full = full.join(same, ["degree", "mark"], "left").select("id", "inflow", F.col("first").isNotNull().alias("whole"), F.coalesce("first", "cluster", "id").alias("cluster"))
+    full = full.withColumn("cluster", F.struct("whole", "cluster"))
+    by = full.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
     strongest = Window.partitionBy("cluster").orderBy(F.desc_nulls_last("inflow"), "id")
     top = full.select("cluster", "id", "inflow").withColumn("n", F.row_number().over(strongest)).where(F.col("n") <= typical).select("id", F.lit(True).alias("typical"))
-    big = full.join(by, "cluster").join(top, "id", "left").select("cluster_id", "id", "size", F.coalesce("inflow", F.lit(0.0)).alias("inflow"), F.coalesce("typical", F.lit(False)).alias("typical"), "whole")
-    alone = rows.select("id").distinct().join(member.select("id"), "id", "left_anti")
+    big = full.withColumn("whole", F.col("cluster.whole")).join(by, "cluster").join(top, "id", "left").select("cluster_id", "id", "size", F.coalesce("inflow", F.lit(0.0)).alias("inflow"), F.coalesce("typical", F.lit(False)).alias("typical"), "whole")
+    alone = rows.select("id").distinct().join(full.select("id"), "id", "left_anti")
     return big.unionByName(alone.select(F.col("id").alias("cluster_id"), "id", F.lit(1).cast("bigint").alias("size"), F.lit(1.0).alias("inflow"), F.lit(True).alias("typical"), F.lit(True).alias("whole")))
 
