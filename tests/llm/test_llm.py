@@ -124,6 +124,14 @@ def test_near_duplicates(spark):
     assert omh.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_same_words_in_other_fields_are_near_duplicates(spark):
+    w = [f"w{i}" for i in range(12)]
+    chunk = [" ".join(w), " ".join(w[:2]) + "|" + " ".join(w[2:]), w[0] + "|" + " ".join(w[1:]), " ".join(w).upper()]
+    df = spark.createDataFrame([(i, c, None) for i, c in enumerate(chunk)], "id bigint, chunk string, vector array<float>").withColumn("canon", canonical(F.col("chunk")))
+    got = omh.near_duplicates(df).collect()
+    assert sorted((r["id_a"], r["id_b"]) for r in got) == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)] and all(r["similarity"] == r["edit"] == 1 for r in got)
+
+
 def test_equal_vectors_of_blank_records(spark, vectors):
     x, _ = vectors
     rows = [(i, None if i % 5 == 0 else "some text here", v.tolist()) for i, v in enumerate(x)]

@@ -193,6 +193,12 @@ def near_duplicates(records: DataFrame, *, threshold: float = 0.8, floor: float
     left = member.select(F.col("node").alias("a"), F.col("id").alias("i"), F.col("canon").alias("ci"))
     right = member.select(F.col("node").alias("b"), F.col("id").alias("j"), F.col("canon").alias("cj"))
     found = pairs.join(left, "a").join(right, "b").where(F.col("ci") != F.col("cj"))
+    # Texts of one node whose canon differs, as where only their fields are parted otherwise; classes of equal canon are joined first.
+    kinds = member.groupBy("node").agg(F.collect_set("canon").alias("canons")).where(F.size("canons") > 1)
+    apart = kinds.select("node", F.explode("canons").alias("ci"), "canons").select("node", "ci", F.explode("canons").alias("cj")).where(F.col("ci") < F.col("cj"))
+    one, two = left.withColumnRenamed("a", "node"), right.withColumnRenamed("b", "node")
+    within = apart.join(one, ["node", "ci"]).join(two, ["node", "cj"]).where(F.col("i") != F.col("j"))
+    found = found.select("i", "j", "similarity", "edit").unionByName(within.select("i", "j", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("edit")))
     by_text = found.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"), "similarity", "edit")
     by_vector = equal_vectors(rows.select("id", "vector", is_blank(F.col("chunk")).alias("blank")), floor=floor)
     none = F.lit(None).cast("double")
