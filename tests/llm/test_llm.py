@@ -372,6 +372,35 @@ def test_leaks(spark):
     assert leak.leaks(texts.limit(0), asked).count() == 0 and leak.leaks(texts, asked.limit(0)).count() == 0
 
 
+def test_leaks_with_words_added_and_left_out(spark):
+    rng = random.Random(5)
+    items = [(i, [f"v{rng.randrange(300)}" for _ in range(20)]) for i in range(20)]
+    docs = []
+    for d in range(90):
+        w = list(items[d % 20][1])
+        at = rng.randrange(9, 11) if d % 3 else rng.randrange(1, 11)
+        if d % 3 == 0:
+            w = w[4:16]
+            del w[at]
+        elif d % 3 == 1:
+            w.insert(at, "added")
+        else:
+            del w[at]
+        docs.append((d, ["x"] * 5 * (d % 2) + w + ["y"] * 5 * (d % 2)))
+    windows = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)]
+    want = {}
+    for d, t in docs:
+        i, w = items[d % 20]
+        want[d, i] = min(edit_distance(a, b) for n in (11, 12, 13) for a in windows(t, n) for b in windows(w, 12))
+    assert set(want.values()) == {1}
+    texts = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "id bigint, text string")
+    asked = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item bigint, text string")
+    got = {(r["id"], r["item"]): r["edits"] for r in leak.leaks(texts, asked, edits=1).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and set(got.values()) == {1}
+    old, new = np.array([[1, 2, 3, 4]] * 3), np.array([[1, 2, 4, 5, 6], [1, 2, 9, 3, 4], [1, 2, 3, 4, 4]])
+    assert leak.distance(new, old, 1).tolist() == [2, 1, 1] and leak.distance(old, new, 1).tolist() == [2, 1, 1]
+
+
 # ---- 8
 
 

@@ -1,6 +1,7 @@
 """Passages of evaluation texts in a corpus, whole or with small edits.
 
-Both sides are cut into windows of as many words as a passage. A random walk over a window (CGK) writes one word at each
+Items are cut into windows of as many words as a passage, texts also into those shorter or longer by up to the edits allowed,
+as words left out or added make them. A random walk over a window (CGK) writes one word at each
 of three times as many steps and moves on or stays by a random bit of step and word; equal windows give equal walks, and
 windows few edits apart give walks that differ in few steps. Repeated samples of the steps are hashed; windows that agree
 in one sample are candidates, verified by their exact edit distance in words. The number of repetitions follows from the
@@ -37,14 +38,14 @@ def repetitions(edits: int, recall: float) -> int:
     return 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of [rows, words] numbers: [rows, 3 * words], -1 after the end of a window."""
+def walk(windows: np.ndarray, seed: int, steps: int) -> np.ndarray:
+    """CGK embedding of [rows, words] numbers: [rows, steps], -1 after the end of a window."""
     rows, n = windows.shape
     padded = np.concatenate([windows, np.full((rows, 1), -1, windows.dtype)], axis=1)
     at = np.zeros(rows, np.int64)
     every = np.arange(rows)
-    out = np.empty((rows, 3 * n), np.int64)
-    for step in range(3 * n):
+    out = np.empty((rows, steps), np.int64)
+    for step in range(steps):
         word = padded[every, at]
         out[:, step] = word
         move = mix64(word.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(step), seed) & np.uint64(1)
@@ -52,9 +53,9 @@ def walk(windows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def keys(windows: np.ndarray, repetition: int) -> np.ndarray:
-    """One hash for each window: of SAMPLE steps, drawn for the repetition, of a walk drawn for it."""
-    path = walk(windows, repetition)
+def keys(windows: np.ndarray, repetition: int, size: int) -> np.ndarray:
+    """One hash for each window: of SAMPLE steps, drawn for the repetition, of a walk of 3 * size steps drawn for it."""
+    path = walk(windows, repetition, 3 * size)
     steps = np.random.default_rng(repetition).choice(path.shape[1], SAMPLE, replace=False)
     out = np.zeros(len(windows), np.uint64)
     for s in steps:
@@ -63,8 +64,9 @@ def keys(windows: np.ndarray, repetition: int) -> np.ndarray:
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Edit distance in words of [rows, n] windows pairwise, within a band of `most`; most + 1 where it is more."""
+    """Edit distance in words of [rows, n] and [rows, m] windows pairwise, within a band of `most` >= |n - m|; most + 1 where it is more."""
     rows, n = a.shape
+    m = b.shape[1]
     big = most + 1
     last = np.tile(np.abs(np.arange(-most, most + 1)), (rows, 1))
     last[:, :most] = big  # columns before the start
@@ -72,7 +74,7 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         now = np.full((rows, 2 * most + 1), big, np.int64)
         for d in range(2 * most + 1):
             j = i + d - most  # the column compared; its cell is j + 1
-            if j < -1 or j >= n:
+            if j < -1 or j >= m:
                 continue
             best = np.full(rows, i + 1, np.int64) if j == -1 else last[:, d] + (a[:, i] != b[:, j])
             if j >= 0 and d + 1 <= 2 * most:
@@ -81,7 +83,7 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
                 best = np.minimum(best, now[:, d - 1] + 1)
             now[:, d] = np.minimum(best, big)
         last = now
-    return last[:, most]
+    return last[:, m - n + most]
 
 
 def item_windows(items: list[tuple[int, str]], size: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
@@ -102,23 +104,23 @@ def search_block(texts: DataFrame, items: list[tuple[int, str]], size: int, edit
     times = repetitions(edits, recall)
     index = []
     for r in range(times):
-        k = keys(windows, r)
+        k = keys(windows, r, size)
         order = np.argsort(k, kind="stable")
         index.append((k[order], order))
 
-    def block(ids: list[int], held: list[list[int]]) -> pa.RecordBatch | None:
-        sizes = np.array([len(h) for h in held])
-        flat = np.fromiter((w for h in held for w in h), np.int64, int(sizes.sum()))
-        total = np.concatenate([[0], np.cumsum(flat > 0)])
-        start = np.arange(max(0, len(flat) - size + 1))
+    def near(flat: np.ndarray, sizes: np.ndarray, total: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
+        """(document, item, edits) for each pair of a document window of `length` words and a near item window."""
+        start = np.arange(max(0, len(flat) - length + 1))
         end = np.repeat(np.cumsum(sizes), sizes)[: len(start)]
-        start = start[(start + size <= end) & (total[start + size] - total[start] >= size - edits)]
+        # Where words are left out, that many edits are spent.
+        known_least = length - edits + max(0, size - length)
+        start = start[(start + length <= end) & (total[np.minimum(start + length, len(flat))] - total[start] >= known_least)]
         if not len(start):
             return None
-        own = flat[start[:, None] + np.arange(size)]
+        own = flat[start[:, None] + np.arange(length)]
         pairs = []
         for r, (sorted_keys, order) in enumerate(index):
-            k = keys(own, r)
+            k = keys(own, r, size)
             low, high = np.searchsorted(sorted_keys, k, "left"), np.searchsorted(sorted_keys, k, "right")
             n = high - low
             row = np.repeat(np.arange(len(k)), n)
@@ -128,9 +130,18 @@ def search_block(texts: DataFrame, items: list[tuple[int, str]], size: int, edit
         far = distance(own[row], windows[window], edits) if edits else (own[row] != windows[window]).any(axis=1).astype(np.int64)
         ok = far <= edits
         row, window, far = row[ok], window[ok], far[ok]
-        doc = np.searchsorted(np.cumsum(sizes), start[row], side="right")
-        order = np.lexsort((far, owner[window], doc))
-        doc, item, far = doc[order], owner[window][order], far[order]
+        return np.searchsorted(np.cumsum(sizes), start[row], side="right"), owner[window], far
+
+    def block(ids: list[int], held: list[list[int]]) -> pa.RecordBatch | None:
+        sizes = np.array([len(h) for h in held])
+        flat = np.fromiter((w for h in held for w in h), np.int64, int(sizes.sum()))
+        total = np.concatenate([[0], np.cumsum(flat > 0)])
+        found = [f for length in range(max(1, size - edits), size + edits + 1) if (f := near(flat, sizes, total, length)) is not None]
+        if not found:
+            return None
+        doc, item, far = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((far, item, doc))
+        doc, item, far = doc[order], item[order], far[order]
         first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))[0] if len(doc) else np.array([], np.int64)
         count = np.diff(np.append(first, len(doc)))
         return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc[first]]), pa.array(item[first]), pa.array(far[first].astype(np.int32)), pa.array(count.astype(np.int32))], names=["id", "item", "edits", "windows"])
@@ -143,7 +154,7 @@ def search_block(texts: DataFrame, items: list[tuple[int, str]], size: int, edit
             n = 0
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 w = [get(x, 0) for x in WORD.findall(t.lower())]
-                if len(w) < size:
+                if len(w) < max(1, size - edits):
                     continue
                 ids.append(i)
                 held.append(w)
@@ -161,8 +172,8 @@ def search_block(texts: DataFrame, items: list[tuple[int, str]], size: int, edit
 def leaks(texts: DataFrame, items: DataFrame, *, size: int = 12, edits: int = 0, recall: float = 0.99, at_once: int = ITEMS) -> DataFrame:
     """texts(id bigint, text string), items(item bigint, text string) -> (id, item, edits int, windows int).
 
-    A row for each text and item such that some `size` consecutive words of the text are within `edits` word edits of as
-    many consecutive words of the item; edits: of the nearest such windows, windows: how many pairs of windows there are.
+    A row for each text and item such that some size - edits to size + edits consecutive words of the text are within `edits`
+    word edits of `size` consecutive words of the item; edits: of the nearest such windows, windows: how many pairs of windows there are.
     With edits = 0 all are found, otherwise a window with the full number of edits is found with probability `recall`.
     Words are runs of letters or digits of the lower-cased text. Null ids and texts and items of fewer words take no part;
     repeated rows give one row, with the windows of one of them. Empty tables give no rows; further columns are ignored."""
