@@ -493,3 +493,32 @@ def test_chain_takes_ordered_matches():
     x, y = np.array([0, 10, 20, 30]), np.array([100, 110, 5, 130])
     root, score = spans.chain(x, y, 10)
     assert root[0] == root[1] == root[3] and root[2] == 2 and score[3] > score[1] > score[0]
+
+
+def test_spans_come_from_chains(spark):
+    """With each match left alone nothing is found; a lone common seed is no span."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long, short = text(120), text(12)
+    docs = [(0, text(40) + long + text(30)), (1, text(10) + long), (2, text(50) + short + text(50)), (3, short + text(80))]
+    df = spark.createDataFrame(docs, "id bigint, text string")
+    assert {(r["id"], r["start"], r["end"]) for r in spans.shared_spans(df, span=30).collect()} == brute_spans(docs, 30) != set()
+    good, k = df.select("id", "text"), 6
+    found = spans.run_matches(good, spans.runs(good, spans.common_seeds(spans.seeds(good, 15, k, 30)), 30, k), 30)
+    assert spans.aligned(good, spans.chains(found, k), 30, k).count() > 0 == spans.aligned(good, spans.chains(found, k, link=lambda x, y, k, gap: (np.arange(len(x)), np.full(len(x), float(k)))), 30, k).count()
+    lone = spark.createDataFrame([(0, 1, 5, 70)], found.schema)
+    assert spans.chains(lone, k).count() == 0
+    kept = spans.chains(spark.createDataFrame([(0, 1, i, i) for i in range(0, 90, 9)], "id bigint, other bigint, pos int, other_pos int"), 6).collect()
+    assert len(kept) == 1 and kept[0]["seeds"] == 10 and [tuple(d) for d in kept[0]["diagonals"]] == [(0, 87, 0)]
+
+
+def test_passage_over_edits(spark):
+    """One character in every 60 differs: no 300 characters agree, but the passage is found as one."""
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    base = text(1200)
+    other = "".join("#" if i % 60 == 30 else c for i, c in enumerate(base))
+    df = spark.createDataFrame([(0, text(100) + base), (1, other + text(50))], "id bigint, text string")
+    assert spans.shared_spans(df).count() == 0
+    got = [r for r in spans.passages(df).collect() if r["id"] == 1]
+    assert max(r["end"] - r["start"] for r in got) >= 1100 and max(r["identity"] for r in got) > 0.95
