@@ -439,6 +439,24 @@ def test_mix(spark):
     assert empty.count() == 0 and none.count() == 5 and mixing.mix(docs, t.limit(0))[1].count() == 0
 
 
+def test_shards_use_up_the_slots():
+    slots = np.array([1000, 3, 0, 77_777], np.int64)
+    shards = 77
+    first, n = zip(*(mixing.shard_counts(slots, shards, i, [1, 2]) for i in range(shards)))
+    assert (np.sum(n, axis=0) == slots).all()
+    assert (np.array(first)[1:] == np.cumsum(n, axis=0)[:-1]).all()
+    assert {int(x.sum()) for x in n} <= {int(slots.sum()) // shards, int(slots.sum()) // shards + 1}
+
+
+def test_out_of_reach_is_what_was_drawn(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", 100 + i) for i in range(200)], "id bigint, source string, size bigint")
+    t = spark.createDataFrame([(1, 1.0, "a", 0.5, 3), (1, 1.0, "b", 0.5, 1), (2, 1.0, "c", 1.0, 2), (3, 0.2, "a", 1.0, 0)], "plan int, ratio double, source string, share double, repeats int")
+    flags = lambda: {(r["plan"], r["source"]): r["out_of_reach"] for r in mixing.mix(docs, t, block=64)[1].collect()}
+    assert flags() == {(1, "a"): False, (1, "b"): True, (2, "c"): True, (3, "a"): True}
+    monkeypatch.setattr(mixing, "plan_sources", lambda *a: {})  # nothing is drawn
+    assert flags()[1, "b"] is False
+
+
 # ---- 9
 
 

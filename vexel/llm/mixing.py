@@ -2,8 +2,8 @@
 
 The texts of a source, in an order drawn by a hash, are one stream of tokens, cut into blocks of fixed length. Prefix sums
 are taken within hash buckets and over the buckets' totals, so no task sees a whole source. A plan's output is a number of
-shards; the counts of its sources in each shard are drawn one shard after the other as multinomial counts given what is
-left, so the totals are exact. The slots of a source run through pseudorandom permutations of its block numbers, one for
+shards; the counts of its sources in each shard are multinomial given the totals, so these are exact; they are drawn by the
+tasks, halving the shards again and again. The slots of a source run through pseudorandom permutations of its block numbers, one for
 each repetition, so a block is used at most as often as the plan allows. Slots are joined with blocks by number."""
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix64
 
-#: Tokens of a block, slots of an output shard, shards of a plan at most, buckets of a source for prefix sums.
-BLOCK, SLOTS, MOST_SHARDS, BUCKETS = 4_096, 1_024, 4_096, 256
+#: Tokens of a block, slots of an output shard, shards that a row of the plan stands for, buckets of a source for prefix sums.
+BLOCK, SLOTS, GROUP, BUCKETS = 4_096, 1_024, 16, 256
 #: Rows that the table of targets may have: it is planned on the driver.
 MOST_TARGETS = 100_000
 
@@ -58,30 +58,61 @@ def pieces(docs: DataFrame, block: int) -> DataFrame:
     return spread.select("id", "source", "block", tokens.alias("tokens"))
 
 
-def plan_slots(rows: list[dict], block: int, seed: int) -> list[tuple]:
-    """(plan, shard, source, first slot, slots, blocks of the source, seed) for the targets of all plans."""
-    out = []
+def plan_sources(rows: list[dict], block: int, seed: int) -> dict[int, dict]:
+    """For each plan its sources with something to draw: names, blocks, slots to fill, seeds; and the number of output shards."""
+    out: dict[int, dict] = {}
     for plan in sorted({r["plan"] for r in rows}):
         own = sorted((r for r in rows if r["plan"] == plan and r["size"] > 0 and r["want"] > 0), key=lambda r: r["source"])
         blocks = np.array([-(-r["size"] // block) for r in own], np.int64)
-        want = np.array([min(r["want"], r["cap"]) / (r["size"] / b) for r, b in zip(own, blocks)])
-        left = np.minimum(np.rint(want), np.array([r["repeats"] for r in own]) * blocks).astype(np.int64)
-        total = int(left.sum())
-        if not total:
-            continue
-        shards = min(MOST_SHARDS, -(-total // SLOTS))
-        rng = np.random.default_rng([seed, plan])
-        used = np.zeros_like(left)
-        for shard in range(shards):
-            n = total * (shard + 1) // shards - total * shard // shards
-            # numpy's "marginals" method takes any size
-            drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
-            for s in np.nonzero(drawn)[0]:
-                out.append((plan, shard, own[s]["source"], int(used[s]), int(drawn[s]), int(blocks[s]), int(mix64(np.array([seed * 1_000_003 + plan * 1_009 + s]))[0] >> np.uint64(34))))
-            used, left = used + drawn, left - drawn
+        # A source that cannot give what is asked gives all its blocks as often as it may.
+        full = np.array([r["repeats"] for r in own], np.int64) * blocks
+        left = np.where([r["want"] > r["cap"] for r in own], full, np.minimum(np.rint([r["want"] / (r["size"] / b) for r, b in zip(own, blocks)]), full)).astype(np.int64)
+        if left.sum():
+            seeds = mix64(np.array([seed * 1_000_003 + plan * 1_009 + s for s in range(len(own))])) >> np.uint64(34)
+            out[plan] = {"names": [r["source"] for r in own], "blocks": blocks, "slots": left, "seeds": seeds.astype(np.int64), "shards": int(-(-left.sum() // SLOTS))}
     return out
 
 
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot, slots) of each source in one output shard.
+
+    Shards are halved again and again; the counts of a left half are drawn given those of both, by a generator that the
+    half's place seeds. So each shard finds its own counts, and all together use up the slots."""
+    first, low, high = np.zeros_like(slots), 0, shards
+    total = int(slots.sum())
+    edge = lambda i: total * i // shards
+    while high - low > 1:
+        middle = (low + high) // 2
+        # numpy's "marginals" method takes any size
+        left = np.random.default_rng([*seed, low, high]).multivariate_hypergeometric(slots, edge(middle) - edge(low), method="marginals")
+        if shard < middle:
+            slots, high = left, middle
+        else:
+            first, slots, low = first + left, slots - left, middle
+    return first, slots
+
+
+def draw(spark: SparkSession, plans: dict[int, dict], seed: int) -> DataFrame:
+    """(plan, source, block, slot): the blocks that the output shards of each plan are filled with, drawn shard by shard by the tasks."""
+    shards = spark.createDataFrame([(p, v["shards"]) for p, v in plans.items()], "plan int, shards bigint")
+    # Shards are dealt out in groups of up to GROUP, so that the rows spread over the tasks before they are expanded.
+    groups = shards.select("plan", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1, F.lit(GROUP).cast("bigint"))).alias("begin"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for plan, begin in zip(b.column("plan").to_pylist(), b.column("begin").to_pylist()):
+                v = plans[plan]
+                for shard in range(begin, min(begin + GROUP, v["shards"])):
+                    first, n = shard_counts(v["slots"], v["shards"], shard, [seed, plan])
+                    row = np.repeat(np.arange(len(n)), n)  # about SLOTS rows
+                    slot = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    blocks = v["blocks"][row]
+                    at = permute(slot % blocks, blocks, v["seeds"][row] + (slot // blocks) * 7_919)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), plan, np.int32)), pa.array(v["names"]).cast(pa.string()).take(pa.array(row)), pa.array(at), pa.array(slot)], names=["plan", "source", "block", "slot"])
+
+    return groups.repartition(F.xxhash64("plan", "begin")).mapInArrow(fill, "plan int, source string, block bigint, slot bigint")
+
+
 def mix(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """docs(id bigint, source string, size bigint), targets(plan int, ratio double, source string, share double, repeats int).
 
@@ -89,8 +120,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, seed: int =
     count once. total is the size of all of them. copies(plan, source, id, tokens bigint, times int): what each plan takes
     of a document, times being the most that any of its tokens is repeated. report(plan, source, target_share, wanted
     double, available bigint, reached bigint, reached_share double, out_of_reach boolean): one row for each distinct
-    target; wanted = share * ratio * total, available = repeats * size of the source (0 without documents), out_of_reach
-    where wanted > available; such a source gives all it may. Shares are of what the plan reached. Sizes are met to within
+    target; wanted = share * ratio * total, available = repeats * size of the source (0 without documents). A source that
+    is asked for more gives all it may; out_of_reach says of the blocks drawn that they are all of these and still too few. Shares are of what the plan reached. Sizes are met to within
     half a block for each source. Targets with a null plan or source take no part; a null share or ratio counts as 0, null or negative
     repeats as 0. Empty tables give empty results; further columns are ignored."""
     spark = docs.sparkSession
@@ -104,23 +135,12 @@ def mix(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, seed: int =
     rows = [r.asDict() for r in sized.limit(MOST_TARGETS + 1).collect()]
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
-    slots = spark.createDataFrame(plan_slots(rows, block, seed) or [], "plan int, shard int, source string, first bigint, n bigint, blocks bigint, seed bigint")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = {k: b.column(k).to_numpy() for k in ("plan", "shard", "first", "n", "blocks", "seed")}
-            row = np.repeat(np.arange(b.num_rows), c["n"])
-            slot = c["first"][row] + np.arange(len(row)) - np.repeat(np.cumsum(c["n"]) - c["n"], c["n"])
-            blocks = c["blocks"][row]
-            at = permute(slot % blocks, blocks, c["seed"][row] + (slot // blocks) * 7_919)
-            yield pa.RecordBatch.from_arrays([pa.array(c["plan"][row].astype(np.int32)), pa.array(c["shard"][row].astype(np.int32)), b.column("source").take(pa.array(row)), pa.array(slot), pa.array(at)], names=["plan", "shard", "source", "slot", "block"])
-
-    drawn = slots.mapInArrow(number, "plan int, shard int, source string, slot bigint, block bigint")
+    drawn = draw(spark, plan_sources(rows, block, seed), seed)
     used = drawn.groupBy("plan", "source", "block").agg(F.count("*").alias("times"))
     taken = pieces(good, block).join(used, ["source", "block"])
     copies = taken.groupBy("plan", "source", "id").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").cast("int").alias("times"))
     reached = copies.groupBy("plan", "source").agg(F.sum("tokens").alias("reached"))
     report = sized.join(reached, ["plan", "source"], "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     whole = F.sum("reached").over(Window.partitionBy("plan"))
-    report = report.select("plan", "source", F.col("share").alias("target_share"), F.col("want").alias("wanted"), F.col("cap").alias("available"), "reached", F.when(whole > 0, F.col("reached") / whole).otherwise(0.0).alias("reached_share"), (F.col("want") > F.col("cap")).alias("out_of_reach"))
+    report = report.select("plan", "source", F.col("share").alias("target_share"), F.col("want").alias("wanted"), F.col("cap").alias("available"), "reached", F.when(whole > 0, F.col("reached") / whole).otherwise(0.0).alias("reached_share"), ((F.col("reached") >= F.col("cap")) & (F.col("want") > F.col("reached"))).alias("out_of_reach"))
     return copies, report
