@@ -217,8 +217,33 @@ def test_group_over_many_cells_is_whole(spark, monkeypatch):
 
 
 def test_flow_keeps_records_near_many_landmarks(spark):
-    edges = spark.createDataFrame([(i, 1000 + j, 0.95) for i in range(30) for j in range(60)], "id bigint, landmark bigint, weight double")
-    assert {r["cluster"] for r in markov.supports(markov.flow(edges)).where("id < 30").collect()} == {0}
+    edges = spark.createDataFrame([(i, 1000 + j, 0.95) for i in range(30) for j in range(60)] + [(1000 + j, 1000 + j, 1.0) for j in range(60)], "id bigint, landmark bigint, weight double")
+    near = spark.createDataFrame([(1000 + i, 1000 + j) for i in range(60) for j in range(60) if i != j], "id bigint, landmark bigint")
+    m = markov.flow(markov.start(edges, markov.assigned(edges), near))
+    assert len({r["cluster"] for r in markov.attracted(m).where("id < 30").collect()}) == 1
+
+
+def test_rounds_of_flow_decide_the_clusters(spark):
+    """Two dense groups and a record between them that is near some of both: the flow parts them, without its rounds there are no groups."""
+    rng = np.random.default_rng(2)
+    a, side = unit(rng.standard_normal((2, DIM)))
+    side = unit((side - (side @ a) * a)[None])[0]
+    turned = lambda angle: np.cos(angle) * a + np.sin(angle) * side
+    x = np.concatenate([unit(turned(0)[None] + 0.012 * rng.standard_normal((9, DIM))), unit(turned(0.80)[None] + 0.012 * rng.standard_normal((9, DIM))), turned(0.40)[None]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit(x))], "id bigint, vector array<float>")
+    s = unit(x).astype(float) @ unit(x).astype(float).T >= 0.9
+    assert not s[:9, 9:18].any() and s[18, :9].any() and s[18, 9:18].any()
+    edges = spark.createDataFrame([(i, i // 9 * 9, 0.95 if i % 9 else 1.0) for i in range(18)] + [(18, 0, 0.92), (18, 9, 0.91)], "id bigint, landmark bigint, weight double")
+    own, none = markov.assigned(edges), spark.createDataFrame([], "id bigint, landmark bigint")
+    groups = lambda n: {r["id"]: r["cluster"] for r in markov.attracted(markov.flow(markov.start(edges, own, none), rounds=n)).collect()}
+    assert groups(40) == {i: i // 9 * 9 for i in range(18)} | {18: 0}
+    assert groups(0) != groups(40) and len(set(groups(0).values())) > 2
+    rows = markov.clusters(df, floor=0.9).collect()
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["cluster_id"]].add(r["id"])
+    assert set(range(18)) <= set().union(*by.values()) and not any({0, 9} <= m for m in by.values())
+    assert len(markov.clusters(df, floor=0.9, rounds=0).select("cluster_id").distinct().collect()) > len(by)
 
 
 # ---- 4

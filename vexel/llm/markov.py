@@ -3,14 +3,17 @@
 Graph: every record is linked to the landmarks within the similarity floor that it meets in the cells it visits. The
 landmarks of a part of a cell are picked greedily from its data rows alone, so that each of them is a landmark or near one
 and all queries of the cell, however they are split, meet the same landmarks; a dense group of m records costs about m edges
-for each part instead of m * m. The same pass counts each record's neighbours exactly and sums
-their hashes, which later tells whether a cluster is complete and closed.
-
-Clustering: columns of the flow matrix start as lazy random walks (a loop as heavy as all edges of a
-landmark, or as the heaviest edge of another record, so that one near many landmarks doesn't keep to itself). A round
-squares the matrix by a join on the shared index, raises entries to the power `inflation`, and drops those under `prune`
-unless they are among the column's largest, so that a column never holds more than 1 / prune entries and never runs empty. Rows that keep flow are attractors; their supports, joined where
-they overlap, are the clusters; members with the strongest inflow represent them."""
+for each part instead of m * m. Landmarks with records of their own then visit more cells, to meet the other landmarks there.
+The first pass also counts each record's neighbours exactly and sums their hashes, which later tells whether a cluster is
+complete and closed.
+
+Clustering: a record stays where it is (a loop) with the weight of all its edges and otherwise goes to a landmark near it, in
+proportion to the records that the landmark has. A landmark stands for its records: it stays in proportion to their number,
+goes to a landmark near it in proportion to the number there, and to one that only some of its records are near in
+proportion to these. A round squares the matrix by a join on the shared index, raises entries to the power `inflation`, and
+then, not before, drops those under `prune` unless they are among the column's largest, so that a column never holds more
+than 1 / prune entries and never runs empty. Rounds go on until the flow has settled. Then the largest entry of a column
+names its attractor, and columns with the same attractor are a cluster; members with the strongest flow represent it."""
 
 from __future__ import annotations
 
@@ -95,6 +98,8 @@ def link_part(data: pa.Table, queries: pa.Table, floor: float, edges: bool = Tru
             r, c, v = near_pairs(q[at : at + BLOCK], x[pick], raw_q[at : at + BLOCK], raw[pick], floor)
             keep = qids[r + at] != ids[pick[c]]
             rows.append((qids[r + at][keep], pick[c][keep], v[keep], *[np.zeros(keep.sum(), np.int64)] * 3))
+            met = np.unique(pick[c][keep])
+            rows.append((ids[met], met, np.ones(len(met)), *[np.zeros(len(met), np.int64)] * 3))  # a landmark is near itself
     id_, lm, w, deg, mark, own = (np.concatenate(a) if rows else np.array([], float) for a in (zip(*rows) if rows else [[]] * 6))
     none = lm < 0
     return pa.table({"id": pa.array(id_.astype(np.int64)), "landmark": pa.array(ids[np.where(none, 0, lm).astype(np.int64)] if len(lm) else np.array([], np.int64), mask=none), "weight": pa.array(w.astype(float)), "degree": pa.array(deg.astype(np.int64)), "mark": pa.array(mark.astype(np.int64)), "own": pa.array(own.astype(np.int64))})
@@ -124,24 +129,62 @@ def rest(rows: DataFrame, member: DataFrame, cells: routing.Cells, *, floor: flo
     return routing.home(rows, cells, spread=True).groupBy(*at).cogroup(routing.visit(queries, cells, 0, spread=True).groupBy(*at)).applyInArrow(group, LINKS)
 
 
-def flow(edges: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, rounds: int = 4, settled: float = 1e-3) -> DataFrame:
-    """edges(id, landmark, weight) -> the flow matrix after Markov clustering: (col, row, value), the values of a column adding up to 1.
+def landmark_pairs(rows: DataFrame, sizes: DataFrame, cells: routing.Cells, *, floor: float, probes: int) -> DataFrame:
+    """sizes(landmark, size) -> (id, landmark): pairs of different landmarks within the floor, in the `probes` nearest cells of each."""
+    own = rows.join(sizes.select(F.col("landmark").alias("id")), "id", "left_semi")
+    at = ["cell", "part", "other"]
 
-    Stops when no column is further than `settled` from even flow between its attractors (largest entry minus sum of
-    squares), or after `rounds`. Self edges are ignored, repeated ones count once, both directions are taken."""
-    one = edges.where(F.col("id") != F.col("landmark")).groupBy("id", "landmark").agg(F.max("weight").alias("w"))
-    both = one.select(F.col("id").alias("col"), F.col("landmark").alias("row"), "w").withColumn("hub", F.lit(False)).unionByName(one.select(F.col("landmark").alias("col"), F.col("id").alias("row"), "w", F.lit(True).alias("hub"))).groupBy("col", "row").agg(F.max("w").alias("w"), F.max("hub").alias("hub"))
-    total = both.groupBy("col").agg(F.sum("w").alias("w"), F.when(F.max("hub"), F.sum("w")).otherwise(F.max("w")).alias("loop"))
-    total = total.select("col", (F.col("w") + F.col("loop")).alias("total"), "loop")
-    most = Window.partitionBy("col").orderBy(F.desc("value"), "row")
-    # Where all entries are small, as those of a record near many landmarks, the largest stay.
-    kept = lambda df: df.withColumn("n", F.row_number().over(most)).withColumn("top", F.max("value").over(Window.partitionBy("col"))).where((F.col("n") <= round(1 / prune)) & (F.col("value") >= F.least(F.lit(prune), F.col("top") / 2))).drop("n", "top")
-    m = both.join(total, "col").select("col", "row", (F.col("w") / F.col("total")).alias("value"))
-    m = kept(m).unionByName(total.select("col", F.col("col").alias("row"), (F.col("loop") / F.col("total")).alias("value")))
+    def group(key: tuple, data: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, raw = once(data)
+        qids, raw_q = once(queries)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], np.int64),) * 2]
+        for i in range(0, len(qids), BLOCK) if len(ids) else ():
+            r, c, _ = near_pairs(unit(raw_q[i : i + BLOCK]), unit(raw), raw_q[i : i + BLOCK], raw, floor)
+            found.append((qids[r + i], ids[c]))
+        a, b = (np.concatenate(z) for z in zip(*found))
+        return pa.table({"id": a[a != b], "landmark": b[a != b]})
+
+    near = routing.home(own, cells, spread=True).groupBy(*at).cogroup(routing.visit(own, cells, probes, spread=True).groupBy(*at)).applyInArrow(group, "id bigint, landmark bigint")
+    return near.unionByName(near.select(F.col("landmark").alias("id"), F.col("id").alias("landmark"))).distinct()
+
+
+def assigned(edges: DataFrame) -> DataFrame:
+    """edges(id, landmark, weight), with a landmark's edge to itself -> (id, own): the landmark nearest to each record."""
+    return edges.groupBy("id").agg(F.max_by("landmark", F.struct("weight", -F.col("landmark"))).alias("own"))
+
+
+def start(edges: DataFrame, own: DataFrame, near: DataFrame) -> DataFrame:
+    """The first matrix (col, row, value) of records and landmarks: see above.
+
+    edges(id, landmark, weight), own(id, own): the landmark of each record, near(id, landmark): landmarks within the floor of each other."""
+    size = own.groupBy(F.col("own").alias("row")).agg(F.count("*").alias("size"))
+    used = edges.select("id", F.col("landmark").alias("row")).distinct().join(size, "row")
+    # Records that are no landmark with records of its own.
+    plain = used.join(size.select(F.col("row").alias("id")), "id", "left_anti").select(F.col("id").alias("col"), "row", F.col("size").cast("double").alias("w"))
+    loops = plain.groupBy("col").agg(F.sum("w").alias("w")).select("col", F.col("col").alias("row"), "w")
+    # Landmarks: the records of one that are near another, or all of the other where the landmarks themselves are near.
+    some = used.join(own, "id").where(F.col("own") != F.col("row")).groupBy("own", "row").agg(F.count("*").alias("n"))
+    cross = some.select(F.col("own").alias("col"), "row", "n").unionByName(some.select(F.col("row").alias("col"), F.col("own").alias("row"), "n")).groupBy("col", "row").agg(F.sum("n").alias("n"))
+    sizes = lambda name: size.select(F.col("row").alias(name), F.col("size").alias(f"{name}_size"))
+    close = near.select(F.col("id").alias("col"), F.col("landmark").alias("row"), F.lit(True).alias("near"))
+    between = cross.join(close, ["col", "row"], "full").join(sizes("col"), "col").join(sizes("row"), "row")
+    between = between.select("col", "row", F.when(F.col("near"), F.col("row_size").cast("double")).otherwise(F.least(F.col("row_size"), F.col("n") / F.col("col_size"))).alias("w"))
+    stay = size.select(F.col("row").alias("col"), "row", F.col("size").cast("double").alias("w"))
+    return plain.unionByName(loops).unionByName(between).unionByName(stay).withColumnRenamed("w", "value")
+
+
+def flow(matrix: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, rounds: int = 40, settled: float = 1e-3) -> DataFrame:
+    """(col, row, value) -> the flow matrix after Markov clustering: (col, row, value), the values of a column adding up to 1.
+
+    Ends when every column is within `settled` of even flow between its attractors (largest entry minus sum of squares).
+    Raises if that is not so after `rounds`; with 0 rounds it only brings columns to a sum of 1."""
     column = Window.partitionBy("col")
+    most = Window.partitionBy("col").orderBy(F.desc("value"), "row")
     normal = lambda df: df.withColumn("value", F.col("value") / F.sum("value").over(column))
-    m = cut(normal(m))
-    for _ in range(rounds):
+    # Where all entries are small, the largest stay.
+    kept = lambda df: df.withColumn("n", F.row_number().over(most)).withColumn("top", F.max("value").over(column)).where((F.col("n") <= round(1 / prune)) & (F.col("value") >= F.least(F.lit(prune), F.col("top") / 2))).drop("n", "top")
+    m = cut(normal(matrix))
+    for n in range(rounds):
         lists = m.groupBy("col").agg(F.collect_list(F.struct("row", "value")).alias("entries")).withColumnRenamed("col", "via")
         step = m.select("col", F.col("row").alias("via"), F.col("value").alias("v")).join(lists, "via").select("col", "v", F.explode("entries").alias("e"))
         squared = step.groupBy("col", F.col("e.row").alias("row")).agg(F.sum(F.col("v") * F.col("e.value")).alias("value"))
@@ -149,56 +192,52 @@ def flow(edges: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, round
         m = cut(normal(kept(inflated)))
         chaos = m.groupBy("col").agg((F.max("value") - F.sum(F.col("value") * F.col("value"))).alias("c")).agg(F.max("c")).first()[0]
         if chaos is None or chaos < settled:
-            break
+            return m
+    if rounds:
+        raise RuntimeError(f"the flow has not settled after {rounds} rounds")
     return m
 
 
-def supports(matrix: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, cluster): columns whose attractor rows overlap, directly or through others, get the same cluster, the smallest id of all."""
-    edge = matrix.select(F.col("col").alias("id"), "row").distinct()
-    label = edge.groupBy("id").agg(F.least(F.min("row"), F.first("id")).alias("cluster"))
-    edge = cut(edge.join(label, "id"))
-    for _ in range(rounds):
-        rows = edge.groupBy("row").agg(F.min("cluster").alias("c"))
-        new = edge.join(rows, "row").groupBy("id").agg(F.min("c").alias("new"))
-        after = cut(edge.join(new, "id").select("id", "row", F.least("cluster", "new").alias("cluster"), (F.col("new") < F.col("cluster")).alias("moved")))
-        moved = after.where("moved").limit(1).count()
-        edge = after.drop("moved")
-        if not moved:
-            break
-    return edge.groupBy("id").agg(F.min("cluster").alias("cluster"))
+def attracted(matrix: DataFrame) -> DataFrame:
+    """(id, cluster): the attractor of each column, which is the row of its largest entry (the smaller row of equal ones), or that row's own."""
+    first = matrix.groupBy("col").agg(F.max_by("row", F.struct("value", -F.col("row"))).alias("row"))
+    again = first.select(F.col("col").alias("row"), F.col("row").alias("cluster"))
+    return first.join(again, "row", "left").select(F.col("col").alias("id"), F.coalesce("cluster", "row").alias("cluster"))
 
 
-def clusters(vectors: DataFrame, *, floor: float, inflation: float = 2.0, typical: int = 3, probes: int = 2) -> DataFrame:
+def clusters(vectors: DataFrame, *, floor: float, inflation: float = 2.0, typical: int = 3, probes: int = 2, far: int = 16, rounds: int = 40) -> DataFrame:
     """vectors(id bigint, vector) -> (cluster_id bigint, id bigint, size bigint, inflow double, typical boolean, whole boolean).
 
     One row for each valid vector; null ids and invalid vectors have none, repeated ids have one. cluster_id is the
     smallest id of the cluster; records near no other are clusters of size 1. inflow: the flow that the record receives
-    from all members; typical: it is among the `typical` strongest of its cluster (ties by id). whole: every two members
+    from all members, a landmark's shared out by nearness to it; typical: it is among the `typical` strongest of its
+    cluster (ties by id). whole: every two members
     are within the floor of each other and no member is within it of a record outside, checked on neighbour counts: of each
     member in all cells that it visits and in all cells where members of its cluster are at home. Only a record outside in
-    a cell that the member neither visits nor finds its cluster in goes unseen.
+    a cell that the member neither visits nor finds its cluster in goes unseen. Records visit `probes` cells, landmarks `far`.
     Empty tables give no rows; further columns are ignored."""
     rows = vectors.where(F.col("id").isNotNull() & is_valid(F.col("vector"))).select("id", "vector")
     cells = routing.fit(rows, rows.count())
     found = links(rows, cells, floor=floor, probes=probes)
-    matrix = flow(found.where(F.col("landmark").isNotNull()).select("id", "landmark", "weight"), inflation=inflation)
-    member = cut(supports(matrix))
-    inflow = matrix.groupBy(F.col("row").alias("id")).agg(F.sum("value").alias("inflow"))
+    edges = found.where(F.col("landmark").isNotNull()).select("id", "landmark", "weight")
+    own = cut(assigned(edges))
+    landmark = own.select(F.col("own").alias("landmark")).distinct()
+    near = landmark_pairs(rows, landmark, cells, floor=floor, probes=far)
+    matrix = flow(start(edges, own, near), inflation=inflation, rounds=rounds)
+    member = cut(attracted(matrix))
+    received = matrix.join(own.groupBy(F.col("own").alias("col")).agg(F.count("*").alias("n")), "col", "left").groupBy(F.col("row").alias("own")).agg(F.sum(F.col("value") * F.coalesce("n", F.lit(1))).alias("all"))
+    inflow = edges.join(own, "id").where(F.col("landmark") == F.col("own")).select("id", "own", "weight").distinct().join(received, "own").select("id", (F.col("all") * F.col("weight")).alias("inflow")).groupBy("id").agg(F.max("inflow").alias("inflow"))
     counts = found.where(F.col("landmark").isNull())
     if len(cells.centroids) > probes:
         counts = counts.unionByName(rest(rows, member, cells, floor=floor, probes=probes))
     stats = counts.groupBy("id").agg((F.sum("degree") + 1).alias("degree"), (F.sum("mark") + F.max("own")).alias("mark"), F.max("own").alias("own"))
-    full = cut(stats.join(member, "id", "full").join(inflow, "id", "left"))
-    # Records that have the same neighbours and are as many as these are a complete and closed group, whatever the flow made of it.
-    same = full.groupBy("degree", "mark").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("own").alias("own_sum"))
-    same = same.where((F.col("n") == F.col("degree")) & (F.col("own_sum") == F.col("mark"))).select("degree", "mark", "first")
-    full = full.join(same, ["degree", "mark"], "left").select("id", "inflow", F.col("first").isNotNull().alias("whole"), F.coalesce("first", "cluster", "id").alias("cluster"))
-    full = full.withColumn("cluster", F.struct("whole", "cluster"))
-    by = full.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
+    full = cut(stats.join(member, "id", "full").join(inflow, "id", "left").withColumn("cluster", F.coalesce("cluster", "id")))
+    # Complete and closed: all members have as many neighbours as the cluster has members, and these are the members.
+    by = full.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"), F.sum("own").alias("all"), F.min("degree").alias("d0"), F.max("degree").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"))
+    whole = (F.col("d0") == F.col("size")) & (F.col("d1") == F.col("size")) & (F.col("m0") == F.col("all")) & (F.col("m1") == F.col("all"))
+    by = by.select("cluster", "cluster_id", "size", F.coalesce(whole, F.lit(False)).alias("whole"))
     strongest = Window.partitionBy("cluster").orderBy(F.desc_nulls_last("inflow"), "id")
     top = full.select("cluster", "id", "inflow").withColumn("n", F.row_number().over(strongest)).where(F.col("n") <= typical).select("id", F.lit(True).alias("typical"))
-    big = full.withColumn("whole", F.col("cluster.whole")).join(by, "cluster").join(top, "id", "left").select("cluster_id", "id", "size", F.coalesce("inflow", F.lit(0.0)).alias("inflow"), F.coalesce("typical", F.lit(False)).alias("typical"), "whole")
+    big = full.join(by, "cluster").join(top, "id", "left").select("cluster_id", "id", "size", F.coalesce("inflow", F.lit(0.0)).alias("inflow"), F.coalesce("typical", F.lit(False)).alias("typical"), "whole")
     alone = rows.select("id").distinct().join(full.select("id"), "id", "left_anti")
     return big.unionByName(alone.select(F.col("id").alias("cluster_id"), "id", F.lit(1).cast("bigint").alias("size"), F.lit(1.0).alias("inflow"), F.lit(True).alias("typical"), F.lit(True).alias("whole")))
-
