@@ -152,10 +152,73 @@ def test_alignment():
         for i, p in enumerate(a):
             for j, q in enumerate(b):
                 table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + (p == q))
-        got = omh.align(a[None].astype(np.int64), b[None].astype(np.int64), None, None, band=12)[0]
+        got = omh.align(a[None].astype(np.int64), b[None].astype(np.int64), band=12)[0]
         assert got == table[-1, -1]
 
 
+def test_alignment_of_sorted_words():
+    rng = np.random.default_rng(1)
+    for n in (12, 40, 90, 700):
+        a = [np.sort(rng.choice(2**61, n, replace=False)) for _ in range(20)]
+        b = [np.concatenate([x[rng.random(n) < 0.93], rng.integers(0, 2**61, rng.integers(0, n // 16 + 1))]) for x in a]
+        b = [rng.permutation(x) for x in b]
+        la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        got = omh.align_sorted(omh.padded(np.concatenate(a), la, -1), omh.padded(np.concatenate(b), lb, -2), la, lb, 0.8)
+        want = np.array([len(np.intersect1d(x, y)) for x, y in zip(a, b)])
+        ok = want / (la + lb - want) >= 0.8
+        assert (got[ok] == want[ok]).all() and ok.any() and (got <= want).all()
+
+
+def test_ordered_sketches_keep_the_text_order():
+    rng = np.random.default_rng(2)
+    words_ = rng.integers(1, 2**60, (200, 30)).astype(np.uint64)
+    edited_ = words_.copy()
+    edited_[:, 5] = rng.integers(1, 2**60, 200)
+    shuffled = rng.permuted(words_, axis=1)
+    sizes = np.full(200, 30)
+    one, two, three = (omh.sketch(x.ravel(), sizes)[0] for x in (words_, edited_, shuffled))
+    same = lambda a, b, part: (a[:, part] == b[:, part]).any(axis=1).mean()
+    ordered, unordered = slice(0, omh.ORDERED), slice(omh.ORDERED, None)
+    assert same(one, two, ordered) > 0.99 and same(one, three, ordered) < 0.05 and same(one, three, unordered) == 1
+    # the same k-mers in another order: the same minima, another sketch
+    mers = rng.integers(1, 2**60, (200, 12)).astype(np.uint64)
+    n = np.full(200, 12)
+    assert (omh.minima(mers.ravel(), n, 2, 5, False) == omh.minima(mers[:, ::-1].ravel(), n, 2, 5, False)).all()
+    assert not (omh.minima(mers.ravel(), n, 2, 5, True) == omh.minima(mers[:, ::-1].ravel(), n, 2, 5, True)).any()
+
+
+def test_pairs_are_decided_by_alignment(spark):
+    w = list(range(100, 130))
+    rows = [(0, 1, w, w[:14] + [7] + w[15:]), (0, 2, w, w[10:] + w[:10]), (0, 3, w, w[:15] + list(range(500, 515))), (4, 5, list(range(40_000)), list(range(1, 40_001)))]
+    pairs = spark.createDataFrame(rows, "a bigint, b bigint, wa array<bigint>, wb array<bigint>")
+    got = {r["b"]: (round(r["similarity"], 4), round(r["edit"], 4)) for r in omh.verify(pairs, 0.8).collect()}
+    assert got == {1: (round(29 / 31, 4), round(29 / 31, 4)), 2: (1.0, got[2][1]), 5: (round(39_999 / 40_001, 4), round(39_999 / 40_001, 4))} and got[2][1] < 0.8
+
+
+def test_near_groups_are_those_of_the_pairs(spark, vectors):
+    x, _ = vectors
+    texts = edited()
+    rows = [(i, " ".join(t), None) for i, t in enumerate(texts)] + [(300 + i, " ".join(texts[0]).upper(), None) for i in range(5)] + [(320, " ".join(texts[0][:3]) + "|" + " ".join(texts[0][3:]), x[0].tolist())]
+    rows += [(400 + i, None if i % 3 == 0 else "short", (v * 1.0).tolist()) for i, v in enumerate(x[:20])] + [(450 + i, None if i % 2 else "short", x[0].tolist()) for i in range(6)]
+    df = spark.createDataFrame(rows + rows[:4], "id bigint, chunk string, vector array<float>").withColumn("canon", canonical(F.col("chunk")))
+    pairs = {(r[0], r[1]) for r in omh.near_duplicates(df).collect()}
+    label, links = {}, collections.Counter()
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        label.setdefault(a, a), label.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(label[a], label[b])
+            changed |= label[a] != least or label[b] != least
+            label[a] = label[b] = least
+    got = {r["id"]: (r["group_id"], r["links"]) for r in omh.near_groups(df).collect()}
+    assert got == {i: (label[i], links[i]) for i in label}
+    assert omh.near_groups(df.limit(0)).count() == 0
+
+
 def test_groups(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "id_a bigint, id_b bigint")
     got = {r["id"]: (r["group_id"], r["links"]) for r in omh.groups(pairs).collect()}

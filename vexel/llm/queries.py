@@ -20,15 +20,17 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "index_records").select(F.col("global_id").alias("id"), "vector")
 
 
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "index_records").select(F.col("global_id").alias("id"), "chunk", "vector", canonical(F.col("chunk")).alias("canon"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    records = read(spark, d, "index_records").select(F.col("global_id").alias("id"), "chunk", "vector", canonical(F.col("chunk")).alias("canon"))
-    return omh.near_duplicates(records).select("id_a", "id_b")
+    return omh.near_duplicates(chunks(spark, d)).select("id_a", "id_b")
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each record that has a near duplicate: its group (the smallest id of all that are linked) and its number of links."""
-    pairs = p2_found(spark, d)
-    return omh.groups(pairs).withColumnRenamed("id", "global_id")
+    return omh.near_groups(chunks(spark, d)).withColumnRenamed("id", "global_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
