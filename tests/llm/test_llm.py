@@ -489,6 +489,24 @@ def test_leaks_with_words_added_and_left_out(spark):
     assert leak.distance(new, old, 1).tolist() == [2, 1, 1] and leak.distance(old, new, 1).tolist() == [2, 1, 1]
 
 
+def test_samples_of_walks_part_and_find_windows():
+    """No key takes a large share of random windows, and repetitions find windows one edit away."""
+    rng = np.random.default_rng(0)
+    a = rng.integers(1, 5_000, (4_000, 12))
+    every = np.arange(len(a))
+    changed = a.copy()
+    changed[every, rng.integers(0, 12, len(a))] = 9_999
+    shorter = np.array([np.delete(w, rng.integers(0, 12)) for w in a])
+    longer = np.array([np.insert(w, rng.integers(0, 13), 9_999) for w in a])
+    found = {n: np.zeros(len(a), bool) for n in ("changed", "shorter", "longer")}
+    for r in range(leak.repetitions(1, 0.99)):
+        k = leak.keys(a, r, 12)
+        assert np.unique(k, return_counts=True)[1].max() <= 0.01 * len(a)
+        for n, b in (("changed", changed), ("shorter", shorter), ("longer", longer)):
+            found[n] |= k == leak.keys(b, r, 12)
+    assert all(f.mean() >= 0.99 for f in found.values())
+
+
 # ---- 8
 
 
