@@ -82,6 +82,15 @@ def test_cells_split_and_visit():
     assert list(zip(row, cell, part)) == [(0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 1, 2), (1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 0, 0)]
 
 
+def test_cells_are_fitted_in_two_steps(spark, vectors):
+    x, df = vectors
+    good = df.where(is_valid(F.col("vector")) & F.col("id").isNotNull())
+    c = cells.fit(good, 108, target=4, at_once=5)
+    assert 20 <= len(c.centroids) <= 36 and np.allclose(np.linalg.norm(c.centroids, axis=1), 1, atol=1e-5)
+    home = c.near(x, 1)[:, 0]
+    assert np.bincount(home).max() <= 20 and all(len(set(home[i : i + 8])) <= 3 for i in range(0, 48, 8))
+
+
 # ---- 2
 
 
@@ -323,6 +332,16 @@ def test_varied_subset(spark, vectors):
     assert facility.varied_subset(records, count=10_000).count() == records.where("id IS NOT NULL").select("id").distinct().count()
 
 
+def test_large_group_gets_no_more_than_its_share(spark):
+    """A dense group of many more records than a task orders at once has a few picks only, the others go to scattered records."""
+    rng = np.random.default_rng(4)
+    group = unit(unit(rng.standard_normal((1, DIM))) + 0.02 * rng.standard_normal((600, DIM)))
+    x = np.concatenate([group, unit(rng.standard_normal((200, DIM)))])
+    records = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "id bigint, vector array<float>, chunk string")
+    got = [r["id"] for r in facility.varied_subset(records, count=60, part=100, coarse=40).collect()]
+    assert len(set(got)) == 60 and 1 <= sum(i < 600 for i in got) <= 6
+
+
 def test_lazy_greedy_equals_greedy():
     rng = np.random.default_rng(0)
     s = rng.random((40, 40)).astype(np.float32)
@@ -354,6 +373,17 @@ def test_trie():
     assert [slots[i] == slots[j] for i in range(8) for j in range(8)] == [keys[i] == keys[j] for i in range(8) for j in range(8)]
 
 
+@pytest.mark.parametrize("limit", [{"fits": 5}, {"most": 6_000}])
+def test_texts_with_a_long_common_beginning_are_split(spark, limit):
+    texts = ["licence " * 40 + str(i % 30) for i in range(90)] + ["licence " * 40] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, canon string")
+    partial = df.select("id", F.encode("canon", "UTF-8").alias("key"), F.md5("canon").alias("code"))
+    sizes = [(r["n"], r["bytes"], r["texts"]) for r in radix.buckets(partial, **limit).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes"), F.count_distinct("key").alias("texts")).collect()]
+    assert all(t == 1 or (n <= limit.get("fits", 99) and b <= limit.get("most", 10**6)) for n, b, t in sizes) and len(sizes) > 1
+    got = {r["id"]: (r["keep"], r["copies"]) for r in radix.collapse(df, **limit).collect()}
+    assert got == {i: (i % 30, 3) for i in range(90)} | {i: (90, 3) for i in range(90, 93)}
+
+
 @pytest.mark.parametrize("fits", [2, 50, 20_000])
 def test_collapse(spark, fits):
     rng = random.Random(1)

@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 
 from .common import binary_of, mix64, unit, vectors_of
 
-#: Rows of the sample that the centroids are fitted on.
-SAMPLE = 20_000
+#: Rows of the sample that the centroids are fitted on, and rows for each centroid where these are more than SAMPLE.
+SAMPLE, EACH = 20_000, 20
 #: Data rows that a cell should hold, and the most that one part of it may.
 TARGET, CAP = 4_000, 12_000
-#: No more centroids than this, so that what is sent to the tasks stays under 0.3 MB; beyond it, cells are split into parts.
-MOST_CELLS = 1_024
+#: Centroids that are fitted together; more are fitted in two steps, each centroid of the first divided again.
+AT_ONCE = 1_024
+#: No more centroids than this (65 million rows), so that what is sent to the tasks stays under 5 MB, and the sample under 84 MB;
+#: beyond it, cells are split into parts.
+MOST_CELLS = 16_384
+#: Similarities to centroids that are reckoned at once.
+BLOCK = 4_000_000
 
 
 @dataclass
@@ -34,6 +39,9 @@ class Cells:
         """[rows, probes] nearest cells, nearest first."""
         if len(self.centroids) == 1:
             return np.zeros((len(x), 1), np.int64)
+        step = max(1, BLOCK // len(self.centroids))
+        if len(x) > step:
+            return np.concatenate([self.near(x[at : at + step], probes) for at in range(0, len(x), step)])
         sims = unit(unit(x) - self.mean) @ self.centroids.T
         probes = min(probes, sims.shape[1])
         if probes == 1:
@@ -42,25 +50,38 @@ class Cells:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def fit(vectors: DataFrame, rows: int, *, target: int = TARGET, cap: int = CAP, sample: int = SAMPLE, rounds: int = 8, seed: int = 7) -> Cells:
-    """Spherical k-means on at most `sample` rows of vectors(id, vector), chosen by a hash of the id. rows: of the whole collection."""
-    part = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vector").toArrow()["vector"]
-    if not len(part):
-        return Cells(np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.ones(1, np.int64))
-    x = unit(vectors_of(part))
-    mean = x.mean(axis=0)
-    x = unit(x - mean)
-    n = int(np.clip(-(-rows // target), 1, min(MOST_CELLS, len(x))))
-    rng = np.random.default_rng(seed)
+def lloyd(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """n centroids of the unit vectors x by spherical k-means from n of them."""
     c = x[rng.choice(len(x), n, replace=False)].copy()
-    for _ in range(rounds):
+    for _ in range(rounds if n > 1 else 1):
         home = (x @ c.T).argmax(axis=1)
         total = np.zeros_like(c)
         np.add.at(total, home, x)
         some = np.bincount(home, minlength=n) > 0
         c[some] = unit(total[some])
-    share = np.bincount((x @ c.T).argmax(axis=1), minlength=n) / len(x)
-    return Cells(mean, c, np.maximum(1, np.ceil(share * rows * 1.1 / cap)).astype(np.int64))
+    return c
+
+
+def fit(vectors: DataFrame, rows: int, *, target: int = TARGET, cap: int = CAP, sample: int = SAMPLE, rounds: int = 8, seed: int = 7, at_once: int = AT_ONCE) -> Cells:
+    """Spherical k-means on at most max(sample, EACH * centroids) rows of vectors(id, vector), chosen by a hash of the id. rows: of the whole collection."""
+    n = int(np.clip(-(-rows // target), 1, MOST_CELLS))
+    part = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sample, EACH * n)).select("vector").toArrow()["vector"]
+    if not len(part):
+        return Cells(np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.ones(1, np.int64))
+    x = unit(vectors_of(part))
+    mean = x.mean(axis=0)
+    x = unit(x - mean)
+    n = min(n, len(x))
+    rng = np.random.default_rng(seed)
+    if n <= at_once:
+        c = lloyd(x, n, rounds, rng)
+    else:
+        first = lloyd(x, int(np.ceil(np.sqrt(n))), rounds, rng)
+        home = (x @ first.T).argmax(axis=1)
+        own = [x[home == i] for i in range(len(first))]
+        c = np.concatenate([lloyd(v, min(len(v), max(1, round(n * len(v) / len(x)))), rounds, rng) for v in own if len(v)])
+    count = np.bincount(Cells(np.zeros_like(mean), c, np.ones(len(c), np.int64)).near(x, 1)[:, 0], minlength=len(c))
+    return Cells(mean, c, np.maximum(1, np.ceil(count / len(x) * rows * 1.1 / cap)).astype(np.int64))
 
 
 def expand(near: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,9 +2,11 @@
 
 Two records are as alike as their vectors or their texts are, whichever is more; likeness counts from 0 at `low` to 1 at
 `high`, so once a group of similar records has a representative, more of them add next to nothing. Round one: each part of
-a cell nominates candidates greedily, each with the number of records it serves best. Round two: the candidates of a
-coarse cell, weighted by what they serve, are ordered by another greedy pass; the picks with the largest gains over all
-coarse cells are the subset, which is what one greedy pass over all would pick if coarse cells are far apart."""
+a cell nominates candidates greedily, each with the number of records it serves best. Round two: one greedy pass over all
+candidates, weighted by what they serve. More candidates than a task holds are merged and reduced first: cells of similar
+candidates are ordered by a greedy pass each, those that add next to nothing to the others hand over what they serve, and
+new cells are fitted to the rest, until one cell is left or nothing is handed over any more; then candidates of different
+cells have nothing in common, and the largest gains are what one pass over all would pick."""
 
 from __future__ import annotations
 
@@ -24,7 +26,9 @@ from .common import DIM, binary_of, cut, is_valid, mix64, unit, vectors_of, word
 LOW, HIGH = 0.6, 0.9
 TEXT_LOW, TEXT_HIGH = 0.5, 0.85
 #: Candidates that a part nominates, as a multiple of its share of the subset; records of a part; candidates of a coarse cell.
-OVER, PART, COARSE = 2.0, 3_000, 3_000
+OVER, PART, COARSE = 8.0, 3_000, 3_000
+#: A candidate that adds less than this share of what it serves hands it over; reducing ends where fewer than SLOW of them do.
+ADDS, SLOW = 0.2, 0.01
 
 
 def features(records: DataFrame) -> DataFrame:
@@ -126,19 +130,36 @@ def varied_subset(records: DataFrame, *, share: float | None = None, count: int
         ids, x = t["id"].to_numpy()[order], vectors_of(t["vector"])[order]
         s = likeness(x)
         picks = min(len(x), int(np.ceil(len(x) * ratio * OVER)) + 2)
-        chosen, _ = greedy(s, np.ones(len(x), np.float32), picks, mix64(ids, 5) >> np.uint64(12))
+        chosen, gains = greedy(s, np.ones(len(x), np.float32), picks, mix64(ids, 5) >> np.uint64(12))
+        if want < total:
+            chosen = [c for i, (c, g) in enumerate(zip(chosen, gains)) if g >= ADDS or i < int(np.ceil(len(x) * ratio))]
         serves = s[chosen]
         served = np.bincount(serves.argmax(axis=0)[serves.max(axis=0) > 0], minlength=len(chosen))
         return pa.table({"id": ids[chosen], "weight": np.maximum(served, 1).astype(np.float64), "vector": binary_of(x[chosen])})
 
-    first = cut(routing.home(one, fine).groupBy("cell", "part").applyInArrow(nominate, "id bigint, weight double, vector binary"))
-    wide = routing.fit(first, first.count(), target=coarse, cap=coarse)
-
     def order(t: pa.Table) -> pa.Table:
         by = np.argsort(t["id"].to_numpy())
         ids, x, w = t["id"].to_numpy()[by], vectors_of(t["vector"])[by], t["weight"].to_numpy()[by].astype(np.float32)
-        chosen, gains = greedy(likeness(x), w, len(x), mix64(ids, 5) >> np.uint64(12))
-        return pa.table({"id": ids[chosen], "gain": np.array(gains, np.float64)})
-
-    ranked = cut(routing.home(first, wide, "weight double").groupBy("cell", "part").applyInArrow(order, "id bigint, gain double"))
-    return largest(ranked, want)
+        s = likeness(x)
+        chosen, gains = greedy(s, w, len(x), mix64(ids, 5) >> np.uint64(12))
+        gains = np.array(gains, np.float64)
+        stays = gains >= ADDS * w[chosen]
+        stays[:1] = True
+        serves = s[np.array(chosen)[stays]]
+        weight = np.where(stays, 0.0, w[chosen]).astype(np.float64)
+        weight[stays] = np.bincount(serves.argmax(axis=0), weights=w, minlength=len(serves))
+        return pa.table({"id": ids[chosen], "weight": weight, "gain": gains, "stays": stays, "vector": binary_of(x[chosen])})
+
+    left = cut(routing.home(one, fine).groupBy("cell", "part").applyInArrow(nominate, "id bigint, weight double, vector binary"))
+    n, given, level = left.count(), None, 0
+    while True:
+        cells = routing.fit(left, n, target=coarse, cap=coarse, seed=7 + level)
+        ranked = cut(routing.home(left, cells, "weight double").groupBy("cell", "part").applyInArrow(order, "id bigint, weight double, gain double, stays boolean, vector binary"))
+        left, before = ranked.where("stays"), n
+        n = left.count()
+        out = ranked.where("NOT stays").select("id", "gain")
+        given = out if given is None else given.unionByName(out)
+        level += 1
+        if cells.parts.sum() == 1 or (before - n) < SLOW * before:
+            break
+    return largest(left.select("id", "gain").unionByName(given), want)

@@ -1,8 +1,8 @@
 """Texts equal but for their format: recursive radix partitioning on canonical bytes, then counting in tries.
 
 Canonical texts are counted first by text and a salt, so that a text with a large share of all rows becomes a few rows.
-Buckets are prefixes of the canonical bytes. A level counts the rows under each prefix; what is under a small enough prefix
-is a bucket, the rest is split by as many further bytes again, until each bucket fits. A bucket goes into a path-compressed trie
+Buckets are prefixes of the canonical bytes. A level counts the rows and bytes under each prefix; what is under a small enough
+prefix is a bucket, the rest is split by as many further bytes again, until each bucket fits or holds one text only. A bucket goes into a path-compressed trie
 whose terminal nodes count copies and hold the smallest id."""
 
 from __future__ import annotations
@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Distinct salted texts that a bucket may hold, bytes of the first level, and parts that the copies of one text fall into.
-FITS, STEP, SALTS = 20_000, 2, 16
-#: Beyond this length a bucket is cut by a hash of the whole text instead: no more prefix bytes are tried.
-LONGEST = 64
+#: Distinct salted texts that a bucket may hold, and bytes of these; bytes of the first level, and parts that the copies of one text fall into.
+FITS, BYTES, STEP, SALTS = 20_000, 64_000_000, 2, 16
 
 
 class Trie:
@@ -65,17 +63,17 @@ def count_bucket(t: pa.Table) -> pa.Table:
     return pa.table({"code": t["code"], "salt": t["salt"], "keep": pa.array([keep[s] for s in slots], pa.int64()), "copies": pa.array([copies[s] for s in slots], pa.int64())})
 
 
-def buckets(partial: DataFrame, fits: int = FITS, step: int = STEP) -> DataFrame:
-    """partial(key binary, ...) with a column bucket binary added: the shortest prefix under which at most `fits` rows lie.
+def buckets(partial: DataFrame, fits: int = FITS, most: int = BYTES, step: int = STEP) -> DataFrame:
+    """partial(key binary, code string, ...) with a column bucket binary added: the shortest prefix under which at most `fits` rows of `most` bytes lie.
 
-    A text that ends before the prefix is complete is its own bucket under that prefix. Rows that still share LONGEST
-    bytes are told apart by a hash of the whole text."""
+    A text that ends before the prefix is complete is its own bucket under that prefix. Prefixes double from level to level,
+    so there are no more levels than bits in the length of the longest beginning that too many texts share."""
     todo, done, length = partial, None, step
     while True:
-        prefix = F.substring("key", 1, length) if length <= LONGEST else F.concat(F.substring("key", 1, LONGEST), F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("key"), F.lit(65_536))), 4, "0")))
-        sizes = todo.groupBy(prefix.alias("bucket")).agg(F.count("*").alias("rows"))
-        large = cut(sizes.where(F.col("rows") > fits).select(F.col("bucket").alias("large")))
-        if length > LONGEST or not large.limit(1).count():
+        prefix = F.substring("key", 1, length)
+        sizes = todo.groupBy(prefix.alias("bucket")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("key").cast("bigint")).alias("bytes"), F.min("code").alias("low"), F.max("code").alias("high"))
+        large = cut(sizes.where(((F.col("rows") > fits) | (F.col("bytes") > most)) & (F.col("low") != F.col("high"))).select(F.col("bucket").alias("large")))
+        if not large.limit(1).count():
             last = todo.withColumn("bucket", prefix)
             return last if done is None else done.unionByName(last)
         split = cut(todo.withColumn("bucket", prefix).join(large, F.col("bucket") == F.col("large"), "left"))
@@ -85,7 +83,7 @@ def buckets(partial: DataFrame, fits: int = FITS, step: int = STEP) -> DataFrame
         length *= 2
 
 
-def collapse(texts: DataFrame, *, fits: int = FITS, step: int = STEP, salts: int = SALTS) -> DataFrame:
+def collapse(texts: DataFrame, *, fits: int = FITS, most: int = BYTES, step: int = STEP, salts: int = SALTS) -> DataFrame:
     """texts(id bigint, canon string) -> (id bigint, keep bigint, copies bigint), one row for each id with a text.
 
     canon is the canonical text; null and "" (blank) take no part, nor do null ids. Rows of an id count once. keep is the
@@ -95,8 +93,8 @@ def collapse(texts: DataFrame, *, fits: int = FITS, step: int = STEP, salts: int
     rows = texts.where(F.col("id").isNotNull() & F.col("canon").isNotNull() & (F.col("canon") != "")).select("id", F.encode("canon", "UTF-8").alias("key")).distinct()
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     partial = rows.groupBy("key", "salt").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    partial = partial.withColumn("code", code("key"))
-    placed = buckets(partial, fits, step)
+    partial = cut(partial.withColumn("code", code("key")))
+    placed = buckets(partial, fits, most, step)
     counted = placed.groupBy("bucket").applyInArrow(count_bucket, "code string, salt int, keep bigint, copies bigint")
     return rows.select("id", "salt", code("key").alias("code")).join(counted, ["code", "salt"]).select("id", "keep", "copies")
 
