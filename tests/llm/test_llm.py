@@ -82,6 +82,14 @@ def test_cells_split_and_visit():
     assert list(zip(row, cell, part)) == [(0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 1, 2), (1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 0, 0)]
 
 
+def test_sample_is_picked_out_in_the_scan(spark):
+    df = spark.range(50_000)
+    part = cells.sampled(df, 50_000, 4_000, sample=1_000)
+    assert 1_000 <= part.count() <= 2_000 and cells.sampled(df, 900, 4_000, sample=1_000) is df
+    first = [r[0] for r in df.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(1_000).collect()]
+    assert set(first) <= {r[0] for r in part.collect()}
+
+
 def test_cells_are_fitted_in_two_steps(spark, vectors):
     x, df = vectors
     good = df.where(is_valid(F.col("vector")) & F.col("id").isNotNull())

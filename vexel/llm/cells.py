@@ -62,10 +62,22 @@ def lloyd(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.nd
     return c
 
 
+def cells_of(rows: int, target: int) -> int:
+    return int(np.clip(-(-rows // target), 1, MOST_CELLS))
+
+
+def sampled(table: DataFrame, rows: int, target: int, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """The rows of table(id, ...) from which fit() takes its sample: some more than it takes, by a hash of the id.
+
+    They are picked out in the scan, so no task looks at a share of all rows to find the sample."""
+    share = 1.2 * (max(sample, EACH * cells_of(rows, target)) + 100) / max(rows, 1)
+    return table if share >= 1 else table.where(F.xxhash64("id", F.lit(seed)) < int(-(2**63) + share * 2**64))
+
+
 def fit(vectors: DataFrame, rows: int, *, target: int = TARGET, cap: int = CAP, sample: int = SAMPLE, rounds: int = 8, seed: int = 7, at_once: int = AT_ONCE) -> Cells:
     """Spherical k-means on at most max(sample, EACH * centroids) rows of vectors(id, vector), chosen by a hash of the id. rows: of the whole collection."""
-    n = int(np.clip(-(-rows // target), 1, MOST_CELLS))
-    part = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sample, EACH * n)).select("vector").toArrow()["vector"]
+    n = cells_of(rows, target)
+    part = sampled(vectors, rows, target, sample, seed).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sample, EACH * n)).select("vector").toArrow()["vector"]
     if not len(part):
         return Cells(np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.ones(1, np.int64))
     x = unit(vectors_of(part))

@@ -117,13 +117,14 @@ def varied_subset(records: DataFrame, *, share: float | None = None, count: int
     Null ids take no part; of rows with the same id one counts. Records with neither a valid vector nor words are like no
     other record and gain as much as any record that stands alone; equal gains go by a hash of the id. More ids than there are
     gives all; an empty table gives no rows. Further columns are ignored."""
-    one = features(records.where(F.col("id").isNotNull()).dropDuplicates(["id"]))
+    good = records.where(F.col("id").isNotNull())
+    one = features(good.dropDuplicates(["id"]))
     total = records.where(F.col("id").isNotNull()).select("id").distinct().count()
     want = min(total, count if count is not None else int(np.ceil(total * (share or 0))))
     if not want:
         return records.select("id").limit(0)
     ratio = want / total
-    fine = routing.fit(one, total, target=part, cap=part)
+    fine = routing.fit(features(routing.sampled(good, total, part).dropDuplicates(["id"])), total, target=part, cap=part)
 
     def nominate(t: pa.Table) -> pa.Table:
         order = np.argsort(t["id"].to_numpy())
