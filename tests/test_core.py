@@ -224,3 +224,61 @@ def test_streams(spark):
     assert {(r[0], r[1]) for r in QUERIES["stream_floor_state"](spark, folder).collect()} == want
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(QUERIES["stream_query_topk"](spark, folder)) == key(QUERIES["knn_batch_topk"](spark, folder))
+
+
+def test_batches_blocks_and_parts_do_not_change_the_result(spark, data):
+    """Many small batches, a grid of blocks of queries and records, and routed parts give what one matrix product gives."""
+    vectors, asked, exact = data
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    whole = {by: sorted(tuple(r) for r in f(vectors, asked).select("query_id", "global_id", "score", "rank").collect()) for by, f in (("shard", search.per_shard), ("document", documents.distinct_documents))}
+    spark.conf.set(name, "17")
+    try:
+        one = vectors.coalesce(1)
+        assert ids(search.top(one, asked)) == exact
+        assert sorted(tuple(r) for r in search.per_shard(one, asked).select("query_id", "global_id", "score", "rank").collect()) == whole["shard"]
+        assert sorted(tuple(r) for r in documents.distinct_documents(one, asked).select("query_id", "global_id", "score", "rank").collect()) == whole["document"]
+        assert ids(search.budgeted(one, asked, visits=N)) == exact
+        # what leaves the task does not grow with the batches
+        assert search.candidates(one, asked.withColumn("k", F.lit(3))).count() == 12 * 3
+    finally:
+        spark.conf.set(name, before)
+    grid = search.candidates(vectors, asked, block=5)
+    assert ids(search.ranked(search.once(grid), "query_id").where("rank <= k")) == exact
+    routes = asked.crossJoin(spark.range(8).select(F.col("id").cast("int").alias("shard_id")))
+    assert ids(search.ranked(search.visiting(vectors, routes, part=7, block=5).drop("visited"), "query_id").where("rank <= k")) == exact
+
+
+def test_routed_search_scores_only_its_shards(data):
+    vectors, asked, _ = data
+    few = asked.withColumn("shard_id", F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int"))
+    hits = search.visiting(vectors, few)
+    assert hits.select("query_id", "shard_id").distinct().count() == 12 and {r["visited"] for r in hits.collect()} == {N // 8}
+
+
+def test_shard_bounds_hold(data):
+    vectors, asked, _ = data
+    near = vectors.withColumn("shard_id", F.when(F.col("vector")[0] > 1, 0).when(F.col("vector")[0] < -1, 1).otherwise(2))
+    names, most = routing.shard_bounds(near)
+    rows = {}
+    for r in search.per_shard(near, asked, k=1).collect():
+        rows[r["query_id"], r["shard_id"]] = r["score"]
+    for r in asked.collect():
+        bound = dict(zip(names.tolist(), most(np.array([r["vector"]]))[0]))
+        assert all(rows[r["query_id"], s] <= bound[s] for s in bound)
+    assert ids(routing.early_stop(near, asked, k=6)) == ids(search.top(vectors, asked, k=6))
+
+
+def test_saved_needs_a_shared_folder(spark):
+    from vexel.sources import saved
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            saved.base_dir(Session())

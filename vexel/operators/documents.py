@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
+from ..sources.saved import saved
 from . import search
 
 
@@ -18,7 +19,7 @@ def distinct_documents(vectors: DataFrame, queries: DataFrame, *, k: int | None
 def satisfied_pruning(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """As distinct_documents, in two rounds: records of odd shards take no part in the second one if their document has
     already won with a score as good, nor if they are under the first round's k-th score."""
-    first = distinct_documents(vectors.where(F.col("shard_id") % 2 == 0), queries)
+    first = saved(distinct_documents(vectors.where(F.col("shard_id") % 2 == 0), queries))
     floor = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == F.col("k"), F.col("score"))).alias("floor"))
     second = search.candidates(vectors.where(F.col("shard_id") % 2 != 0), queries.join(floor, "query_id", "left"), by="parent_id")
     won = first.select("query_id", "parent_id", F.col("score").alias("won"), F.col("global_id").alias("won_id"))

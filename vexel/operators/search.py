@@ -1,8 +1,9 @@
 """Exact search: every request against every record, block by block.
 
-Requests are sent to the tasks in blocks of at most QUERIES; each task scores its records with one matrix product and keeps
-the k best of each request, shard or document, so only those are shuffled. A window over the partial results gives the
-final ones. Scores are reckoned in double and rounded to 6 decimals; ties go to the smaller global_id."""
+Requests are sent to the tasks, at most QUERIES of them; each task scores its records with one matrix product and keeps the k
+best of each request, shard or document over all its records, so only those are shuffled. More requests meet the records in a
+grid of blocks of both. A window over the partial results gives the final ones. visiting() scores only the shards that each
+request is routed to. Scores are reckoned in double and rounded to 6 decimals; ties go to the smaller global_id."""
 
 from __future__ import annotations
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Requests sent to the tasks at once: about 5 MB of 64 components each.
 QUERIES = 20_000
-#: Scores reckoned at once in a task.
-CELLS = 4_000_000
+#: Scores reckoned at once in a task, and records that a task scores together where they are grouped.
+CELLS, PART = 4_000_000, 50_000
 HITS = "query_id string, shard_id int, parent_id bigint, global_id bigint, score double, k int"
 METRICS = ("cosine", "dot", "euclidean")
 
@@ -67,53 +68,196 @@ def query_blocks(queries: DataFrame, size: int = QUERIES) -> Iterator[pa.Table]:
         yield (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
 
 
-def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None, metric: str = "cosine", k: int | None = None) -> DataFrame:
+class Kept:
+    """The best hits so far of each query, or of each query and shard, or the best record of each of the best documents of a query.
+
+    Hits are added as arrays, batch by batch, and cut to the best whenever they have doubled, so no more of them are held,
+    and leave the task, than the result may need, however many batches there are. Those of one batch are few already."""
+
+    NAMES = ("row", "group", "global_id", "score")
+
+    def __init__(self, limit: np.ndarray, by: str | None) -> None:
+        self.limit, self.by = limit, by
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.next, self.batches = 0, 100_000, 0
+        self.floor = np.full(len(limit), -np.inf)
+
+    def batch(self) -> None:
+        """Another batch begins."""
+        self.batches += 1
+        if self.batches > 1 and self.size >= self.next:
+            self.cut()
+            self.next = max(100_000, 2 * self.size)
+
+    def add(self, *columns: np.ndarray) -> None:
+        """row (of the query), group, global_id, score and any others; a higher score is better."""
+        self.held.append(columns)
+        self.size += len(columns[0])
+
+    def rest(self) -> tuple[np.ndarray, ...]:
+        return self.cut() if self.batches > 1 else tuple(np.concatenate(x) for x in zip(*self.held))
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return ()
+        c = tuple(np.concatenate(x) for x in zip(*self.held))
+        row, group, gid, score = c[:4]
+        if self.by == "parent_id":  # a document's best record first, then the best documents
+            order = np.lexsort((gid, -score, group, row))
+            same = (row[order][1:] == row[order][:-1]) & (group[order][1:] == group[order][:-1])
+            order = order[np.concatenate([[True], ~same])]
+            order = order[np.lexsort((gid[order], -score[order], row[order]))]
+            key = row[order]
+        else:
+            order = np.lexsort((gid, -score, group, row)) if self.by else np.lexsort((gid, -score, row))
+            r, g, i = row[order], group[order], gid[order]
+            # a record delivered twice has the same score, so its rows stand side by side
+            once_ = np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])])
+            order = order[once_]
+            key = row[order] if not self.by else np.cumsum(np.concatenate([[0], (row[order][1:] != row[order][:-1]) | (group[order][1:] != group[order][:-1])]))
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+        place = np.arange(len(key)) - begin
+        most = self.limit[row[order]]
+        if self.by != "shard_id":
+            last = place == most - 1
+            self.floor[row[order][last]] = score[order][last]
+        order = order[place < most]
+        c = tuple(x[order] for x in c)
+        self.held, self.size = [c], len(order)
+        return c
+
+
+def segments(group: np.ndarray | None, n: int) -> list[tuple[int, int]]:
+    edge = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0].tolist() if group is not None else [0]
+    return list(zip(edge, [*edge[1:], n]))
+
+
+def scored_into(kept: Kept, b: pa.RecordBatch, q: np.ndarray, metric: str, floor: np.ndarray | None, bounds: tuple | None = None) -> None:
+    """Scores a batch of distinct rows, in order of kept.by, for all queries, and adds what may be among the best.
+
+    bounds(shard numbers in order, function of queries -> the highest score that a record of each shard can have): a shard
+    whose bound is under a query's floor is not scored for it."""
+    kept.batch()
+    x, by = matrix(b.column("vector")), kept.by
+    gid, shard, parent = (b.column(n).to_numpy(zero_copy_only=False) for n in ("global_id", "shard_id", "parent_id"))
+    group = b.column(by).to_numpy() if by else (shard if bounds else None)
+    parts = segments(group, len(x))
+    step = max(1, CELLS // len(x))
+    for at in range(0, len(q), step):
+        end = min(at + step, len(q))
+        low = kept.floor[at:end] if floor is None else np.maximum(kept.floor[at:end], floor[at:end])
+        if by == "parent_id":
+            s = scores(q[at:end], x, metric)
+            edge = np.array([e0 for e0, _ in parts])
+            r, g = best(np.maximum.reduceat(s, edge, axis=1), kept.limit[at:end], low)
+            size = np.diff(np.append(edge, len(x)))
+            c = np.empty(len(r), np.int64)
+            for n in np.unique(size[g]):  # the first of the best records: the smallest id
+                own = np.nonzero(size[g] == n)[0]
+                c[own] = edge[g[own]] + s[r[own][:, None], edge[g[own]][:, None] + np.arange(n)].argmax(axis=1)
+            kept.add(r + at, parent[c], gid[c], s[r, c], shard[c], parent[c])
+            continue
+        whole = scores(q[at:end], x, metric) if bounds is None else None
+        most = bounds[1](q[at:end]) if bounds else None
+        for e0, e1 in parts:
+            own = np.arange(end - at) if bounds is None else np.nonzero(most[:, np.searchsorted(bounds[0], group[e0])] >= low)[0]
+            if not len(own):
+                continue
+            s = whole[:, e0:e1] if bounds is None else scores(q[at:end][own], x[e0:e1], metric)
+            r, c = best(s, kept.limit[at:end][own], low[own])
+            kept.add(own[r] + at, shard[e0:e1][c] if by else np.zeros(len(r), np.int64), gid[e0:e1][c], s[r, c], shard[e0:e1][c], parent[e0:e1][c])
+
+
+def hits_of(kept: Kept, ids: pa.Array, own_k: np.ndarray) -> pa.RecordBatch:
+    """HITS of what was kept."""
+    c = kept.rest() or (np.array([], np.int64),) * 6
+    r = c[0].astype(np.int64)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(c[4].astype(np.int32)), pa.array(c[5].astype(np.int64)), pa.array(c[2].astype(np.int64)), pa.array(c[3].astype(float)), pa.array(own_k[r].astype(np.int32))], names=["query_id", "shard_id", "parent_id", "global_id", "score", "k"])
+
+
+def floors_of(t: pa.Table) -> np.ndarray | None:
+    return np.nan_to_num(t["floor"].to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf) if "floor" in t.column_names else None
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None, metric: str = "cosine", k: int | None = None, bounds: tuple | None = None, block: int = QUERIES) -> DataFrame:
     """HITS: of each task's records the k best for each query, or for each query and shard (by="shard_id"); or the best
-    record of each of the k best documents (by="parent_id"). queries(query_id, vector, k [, floor double])."""
+    record of each of the k best documents (by="parent_id"). queries(query_id, vector, k [, floor double]). bounds: see
+    scored_into(). With more than `block` queries, blocks of queries and of records meet in a grid."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     if k is not None and k < 1:
         raise ValueError("k must be at least 1")
     columns = ["query_id", "vector", "k", *(["floor"] if "floor" in queries.columns else [])]
-    out = None
-    for t in query_blocks(queries.select(*columns)):
-        q, ids, own_k = matrix(t["vector"]), t["query_id"].combine_chunks(), t["k"].to_numpy().astype(np.int64)
-        limit = own_k if k is None else np.full(len(own_k), k)
-        floor = np.nan_to_num(t["floor"].to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf) if "floor" in columns else None
+    asked, rows = queries.select(*columns), vectors.select("shard_id", "parent_id", "global_id", "vector")
+    blocks = max(1, -(-asked.count() // block))
+
+    def keep(t: pa.Table) -> tuple:
+        own_k = t["k"].to_numpy().astype(np.int64)
+        ids = t["query_id"].combine_chunks() if t.num_rows else pa.array([], pa.string())
+        return matrix(t["vector"]), ids, own_k, own_k if k is None else np.full(len(own_k), k), floors_of(t)
+
+    if blocks == 1:
+        q, ids, own_k, limit, floor = keep(asked.toArrow())
 
-        def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids, own_k=own_k, limit=limit, floor=floor) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = Kept(limit, by)
             for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                b = distinct_rows(b, by)
-                x, group = matrix(b.column("vector")), b.column(by).to_numpy() if by else None
-                edge = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0] if by else np.array([0])
-                step = max(1, CELLS // len(x))
-                for at in range(0, len(q), step):
-                    end = min(at + step, len(q))
-                    s = scores(q[at:end], x, metric)
-                    low = floor[at:end] if floor is not None else None
-                    if by == "parent_id":
-                        top = np.maximum.reduceat(s, edge, axis=1)
-                        r, g = best(top, limit[at:end], low)
-                        size = np.diff(np.append(edge, len(x)))
-                        c = np.empty(len(r), np.int64)
-                        for n in np.unique(size[g]):  # the first of the best records: the smallest id
-                            own = np.nonzero(size[g] == n)[0]
-                            c[own] = edge[g[own]] + s[r[own][:, None], edge[g[own]][:, None] + np.arange(n)].argmax(axis=1)
-                    else:
-                        r, c = [], []
-                        for e0, e1 in zip(edge, [*edge[1:], len(x)]):
-                            rr, cc = best(s[:, e0:e1], limit[at:end], low)
-                            r.append(rr)
-                            c.append(cc + e0)
-                        r, c = np.concatenate(r), np.concatenate(c)
-                    take, rows = pa.array(c), pa.array(r + at)
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), b.column("shard_id").take(take), b.column("parent_id").take(take), b.column("global_id").take(take), pa.array(s[r, c]), pa.array(own_k[r + at].astype(np.int32))], names=["query_id", "shard_id", "parent_id", "global_id", "score", "k"])
-
-        part = vectors.select("shard_id", "parent_id", "global_id", "vector").mapInArrow(run, HITS)
-        out = part if out is None else out.unionByName(part)
-    return out
+                if b.num_rows and len(q):
+                    scored_into(kept, distinct_rows(b, by or ("shard_id" if bounds else None)), q, metric, floor, bounds)
+            yield from sliced(hits_of(kept, ids, own_k))
+
+        return rows.mapInArrow(run, HITS)
+
+    parts = max(1, -(-vectors.count() // PART))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("part", place("global_id", parts)).withColumn("block", every(blocks))
+    right = asked.withColumn("block", place("query_id", blocks)).withColumn("part", every(parts))
+
+    def pair(key: tuple, data: pa.Table, t: pa.Table) -> pa.Table:
+        q, ids, own_k, limit, floor = keep(t)
+        kept = Kept(limit, by)
+        if data.num_rows and len(q):
+            scored_into(kept, distinct_rows(one_batch(data), by or ("shard_id" if bounds else None)), q, metric, floor, bounds)
+        return pa.Table.from_batches([hits_of(kept, ids, own_k)])
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(pair, HITS)
+
+
+def one_batch(t: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.columns], names=t.column_names)
+
+
+def sliced(b: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
+def visiting(vectors: DataFrame, routes: DataFrame, *, part: int = PART, block: int = QUERIES) -> DataFrame:
+    """HITS and visited bigint: of each shard that a query is routed to its k best records; no other shard is scored.
+
+    routes(query_id, vector, k, shard_id). Shards of more than `part` records, and of more than `block` queries, are cut
+    into parts that all meet; visited: the records of the part that were scored for the query (on each of its rows)."""
+    count = lambda df, size, name: df.groupBy("shard_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
+    sizes = count(vectors, part, "parts").join(count(routes, block, "blocks"), "shard_id")
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = vectors.select("shard_id", "parent_id", "global_id", "vector").join(sizes, "shard_id").withColumn("part", place("global_id", "parts")).withColumn("block", every("blocks")).drop("parts", "blocks")
+    right = routes.select("shard_id", "query_id", "vector", "k").join(sizes, "shard_id").withColumn("block", place("query_id", "blocks")).withColumn("part", every("parts")).drop("parts", "blocks")
+    at = ["shard_id", "part", "block"]
+
+    def pair(key: tuple, data: pa.Table, t: pa.Table) -> pa.Table:
+        own_k = t["k"].to_numpy().astype(np.int64) if t.num_rows else np.array([], np.int64)
+        kept = Kept(own_k, None)
+        n = 0
+        if data.num_rows and t.num_rows:
+            b = distinct_rows(one_batch(data.select(["shard_id", "parent_id", "global_id", "vector"])), None)
+            n = b.num_rows
+            scored_into(kept, b, matrix(t["vector"]), "cosine", None)
+        hits = hits_of(kept, t["query_id"].combine_chunks() if t.num_rows else pa.array([], pa.string()), own_k)
+        return pa.Table.from_batches([hits]).append_column("visited", pa.array(np.full(hits.num_rows, n, np.int64)))
+
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(pair, HITS + ", visited bigint")
 
 
 def ranked(hits: DataFrame, *keys: str) -> DataFrame:
@@ -166,35 +310,48 @@ def metrics(visited: DataFrame) -> DataFrame:
     return visited.groupBy("query_id").agg(F.sum("visited").alias("total_visited"), F.count_distinct("shard_id").alias("shards_finished"))
 
 
-def budgeted(vectors: DataFrame, queries: DataFrame, *, visits: int, k: int | None = None) -> DataFrame:
-    """Approximate search: in every shard only the `visits` records whose signatures differ least from the query's are scored.
+def nearest(vectors: DataFrame, queries: DataFrame, *, visits: int) -> DataFrame:
+    """HITS and distance int: in every shard the `visits` records whose signatures differ least from the query's, with their scores.
 
-    Ties of the signature distance go to the smaller global_id. Columns as top(), and distance int."""
+    Ties of the signature distance go to the smaller global_id. A task compares signatures, and scores only the records
+    that are among its own nearest."""
     out = None
     for t in query_blocks(queries.select("query_id", "vector", "k")):
         q, ids, own_k = matrix(t["vector"]), t["query_id"].combine_chunks(), t["k"].to_numpy().astype(np.int64)
 
         def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids, own_k=own_k) -> Iterator[pa.RecordBatch]:
             signs_q = np.where(q >= 0, 1, -1).astype(np.float32)
+            length_q = np.sqrt((q * q).sum(1))
+            kept = Kept(np.full(len(q), visits), "shard_id")
             for b in batches:
                 if not b.num_rows or not len(q):
                     continue
+                kept.batch()
                 b = distinct_rows(b, "shard_id")
                 x, group = matrix(b.column("vector")), b.column("shard_id").to_numpy()
-                signs, edge = np.where(x >= 0, 1, -1).astype(np.float32), np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+                gid, parent = b.column("global_id").to_numpy(), b.column("parent_id").to_numpy()
+                signs, length = np.where(x >= 0, 1, -1).astype(np.float32), np.sqrt((x * x).sum(1))
                 step = max(1, CELLS // len(x))
                 for at in range(0, len(q), step):
                     near = signs_q[at : at + step] @ signs.T  # components less twice the distance
-                    s = scores(q[at : at + step], x, "cosine")
-                    for e0, e1 in zip(edge, [*edge[1:], len(x)]):
-                        r, c = best(near[:, e0:e1].astype(np.float64), np.full(len(near), visits), None)
-                        c = c + e0
-                        take, rows = pa.array(c), pa.array(r + at)
-                        far = ((x.shape[1] - near[r, c]) / 2).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([ids.take(rows), b.column("shard_id").take(take), b.column("parent_id").take(take), b.column("global_id").take(take), pa.array(s[r, c]), pa.array(own_k[r + at].astype(np.int32)), pa.array(far)], names=["query_id", "shard_id", "parent_id", "global_id", "score", "k", "distance"])
+                    for e0, e1 in segments(group, len(x)):
+                        # ids ascend within a shard: of equal distances the first are taken
+                        turn = near[:, e0:e1].astype(np.float64) * (e1 - e0) - np.arange(e1 - e0)
+                        c = np.argpartition(-turn, visits - 1, axis=1)[:, :visits] if visits < e1 - e0 else np.tile(np.arange(e1 - e0), (len(near), 1))
+                        r, c = np.repeat(np.arange(len(near)), c.shape[1]), c.ravel() + e0
+                        kept.add(r + at, group[c], gid[c], near[r, c], group[c], parent[c], np.einsum("ij,ij->i", q[r + at], x[c]) / (length_q[r + at] * length[c]))
+            c = kept.rest() or (np.array([], np.int64),) * 7
+            r = c[0].astype(np.int64)
+            far = ((q.shape[1] - c[3]) / 2).astype(np.int32)
+            names = ["query_id", "shard_id", "parent_id", "global_id", "score", "k", "distance"]
+            yield from sliced(pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(c[4].astype(np.int32)), pa.array(c[5].astype(np.int64)), pa.array(c[2].astype(np.int64)), pa.array(np.round((1 + c[6].astype(float)) / 2, 6)), pa.array(own_k[r].astype(np.int32)), pa.array(far)], names=names))
 
         part = vectors.select("shard_id", "parent_id", "global_id", "vector").mapInArrow(run, HITS + ", distance int")
         out = part if out is None else out.unionByName(part)
-    nearest = Window.partitionBy("query_id", "shard_id").orderBy("distance", "global_id")
-    scored = once(out).withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= visits).drop("turn")
-    return ranked(scored, "query_id").where(F.col("rank") <= (F.col("k") if k is None else F.lit(k)))
+    turn = Window.partitionBy("query_id", "shard_id").orderBy("distance", "global_id")
+    return once(out).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= visits).drop("turn")
+
+
+def budgeted(vectors: DataFrame, queries: DataFrame, *, visits: int, k: int | None = None) -> DataFrame:
+    """Approximate search: of the `visits` records of every shard that are nearest by signature the k best. Columns as top(), and distance int."""
+    return ranked(nearest(vectors, queries, visits=visits), "query_id").where(F.col("rank") <= (F.col("k") if k is None else F.lit(k)))

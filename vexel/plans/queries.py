@@ -11,6 +11,7 @@ from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import catalog, collaborative, compare, documents, routing, search
 from ..sources.collection import assign_shards, chunks, members, records, requests, statistics, table
+from ..sources.saved import saved, scratch
 from ..streaming import live
 from . import api
 
@@ -23,19 +24,6 @@ def _rq(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return records(spark, d), requests(spark, d)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state, in the shared folder of the cluster if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import atexit
-        import shutil
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="vexel-stream-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def knn_exact_topk(spark: SparkSession, d: str) -> DataFrame:
     r, q = _rq(spark, d)
     return search.top(r, q.orderBy("query_id").limit(1), k=10).select(*HIT)
@@ -135,8 +123,9 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compare_visit_reduction(spark: SparkSession, d: str) -> DataFrame:
-    v = search.visits(*_rq(spark, d)).withColumn("few", F.least("visited", F.lit(20)))
-    both = v.groupBy("query_id").agg(F.sum("visited").alias("standard"), F.sum("few").alias("budgeted"))
+    r, q = _rq(spark, d)
+    few = search.nearest(r, q, visits=20).groupBy("query_id").agg(F.count("*").alias("budgeted"))
+    both = search.metrics(search.visits(r, q)).select("query_id", F.col("total_visited").alias("standard")).join(few, "query_id")
     return both.withColumn("reduction", F.round(compare.visit_reduction(F.col("standard"), F.col("budgeted")), 6))
 
 
@@ -278,7 +267,7 @@ def hint_sketch16(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_ivf_kmeans(spark: SparkSession, d: str) -> DataFrame:
     r, q = _rq(spark, d)
-    return routing.routed(routing.kmeans_shards(r), q, probes=2).select(*HIT)
+    return routing.routed(saved(routing.kmeans_shards(r)), q, probes=2).select(*HIT)
 
 
 def response_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -337,22 +326,22 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_query_topk(spark: SparkSession, d: str) -> DataFrame:
-    out = _scratch(spark, "answers")
+    out = scratch(spark, "answers")
     sink = lambda df: df.select(*HIT).write.mode("append").parquet(out)
-    q = live.answer(live.source(spark, d, "search_request"), records(spark, d), sink, _scratch(spark, "state"))
+    q = live.answer(live.source(spark, d, "search_request"), records(spark, d), sink, scratch(spark, "state"))
     q.awaitTermination()
     return spark.read.schema("query_id string, global_id bigint, score double, rank int").parquet(out).distinct()
 
 
 def stream_floor_max(spark: SparkSession, d: str) -> DataFrame:
     df = live.floor_maximum(live.source(spark, d, "coordinate_request"))
-    out = live.run_to_table(df, f"floors_{uuid.uuid4().hex}", _scratch(spark, "state"), "complete")
+    out = live.run_to_table(df, f"floors_{uuid.uuid4().hex}", scratch(spark, "state"), "complete")
     return out.select("query_id", F.col("floor").cast("double").alias("floor"))
 
 
 def stream_floor_state(spark: SparkSession, d: str) -> DataFrame:
     df = live.floor_state(live.source(spark, d, "coordinate_request"))
-    out = live.run_to_table(df, f"states_{uuid.uuid4().hex}", _scratch(spark, "state"), "update")
+    out = live.run_to_table(df, f"states_{uuid.uuid4().hex}", scratch(spark, "state"), "update")
     return out.groupBy("query_id").agg(F.max("floor").alias("floor"))
 
 
