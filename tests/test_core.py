@@ -2,7 +2,10 @@
 
 import importlib
 import math
+import os
+import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +16,7 @@ from vexel.functions import vectors as fv
 from vexel.operators import catalog, collaborative, compare, documents, routing, search
 from vexel.plans import api, queries, sql
 from vexel.sources import collection
+from vexel.streaming import live
 
 N, DIM = 400, 16
 VECTORS = "global_id bigint, shard_id int, local_doc int, parent_id bigint, vector array<float>, extra string"
@@ -212,7 +216,8 @@ def test_text_search_finds_itself(spark):
 def test_names():
     assert set(sql.SQL) <= set(queries.QUERIES)
     # Nothing but the entry point may need the training-data subpackage.
-    assert all("llm" not in (getattr(m, "__file__", "") or "") for n, m in list(sys.modules.items()) if n.startswith("vexel.") and not n.startswith("vexel.llm"))
+    code = "import sys, vexel.plans.queries, vexel.plans.sql; assert not any(n == 'vexel.llm' or n.startswith('vexel.llm.') for n in sys.modules)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     importlib.import_module("__spark_entry__")
 
 
@@ -226,6 +231,76 @@ def test_streams(spark):
     assert key(QUERIES["stream_query_topk"](spark, folder)) == key(QUERIES["knn_batch_topk"](spark, folder))
 
 
+def test_batch_delivered_twice_is_written_once(spark, data, tmp_path):
+    vectors, asked, exact = data
+    sink = live.table_sink(str(tmp_path / "answers"))
+    hits = search.top(vectors, asked)
+    sink(hits, 0)
+    sink(hits.where("query_id = 'q0'"), 1)
+    sink(hits, 0)  # a replay of the first batch
+    assert live.answers(spark, str(tmp_path / "answers"), hits.schema).count() == hits.count() + len(exact["q0"])
+
+
+def test_deadline_and_cancel(spark):
+    assert live.within(spark, 60.0, lambda: spark.range(5).count()) == 5
+    slow = F.udf(lambda x: __import__("time").sleep(0.5) or x, "bigint")
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        live.within(spark, 1.5, lambda: spark.range(400).select(slow("id")).collect())
+    assert time.monotonic() - began < 30
+    assert spark.range(3).count() == 3  # the session goes on
+
+
+def test_answers_with_floor_and_hint(spark, tmp_path):
+    rows = [[("q", 0.5, b"a", 0), ("r", None, b"z", 0)], [("q", 0.4, b"b", 1), ("q", 0.9, b"", 1), ("r", -0.5, None, 2)], [(None, 1.0, b"c", 1)]]
+    kind = "query_id string, min_score float, neighborhood_hint binary, shard_id int"
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = live.run_to_table(live.coordinate_answers(stream), "answers_of_test", str(tmp_path / "state"), "update").collect()
+    assert {(r["query_id"], round(r["floor"], 3) if r["floor"] is not None else None) for r in out} >= {("q", 0.9), ("r", -0.5)}
+    assert {bytes(r["hint"]) for r in out if r["query_id"] == "r"} == {b"z"}
+    # no answer is lower than one before, and a late floor of a named query only comes with its shard's hint kept
+    assert max(r["floor"] for r in out if r["query_id"] == "q") < 1
+
+
+def test_windowed_hits(spark, tmp_path):
+    rows = [("q", 0.5, "2024-01-01 00:01:00"), ("q", 0.9, "2024-01-01 00:02:00"), ("q", float("nan"), "2024-01-01 00:03:00"), ("q", 0.1, "2024-01-01 00:11:00")]
+    spark.createDataFrame(rows, "query_id string, score double, emitted_at string").select("query_id", "score", F.col("emitted_at").cast("timestamp").alias("emitted_at")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("query_id string, score double, emitted_at timestamp").parquet(str(tmp_path / "in"))
+    out = live.run_to_table(live.windowed_hits(stream), "windows_of_test", str(tmp_path / "state"), "complete").collect()
+    assert sorted((r["begin"].minute, r["n_hits"], r["best"]) for r in out) == [(0, 2, 0.9), (10, 1, 0.1)]
+
+
+def test_embeddings_are_checked(spark):
+    bad = [("a", []), ("b", None), ("c", [[1.0, 2.0]]), ("d", [[]]), ("e", [[3.0], [4.0]])]
+    df = spark.createDataFrame(bad, "id string, e array<array<float>>")
+    assert {r["id"]: r["ok"] for r in df.select("id", ft.has_embedding(F.col("e")).alias("ok")).collect()} == {"a": False, "b": False, "c": True, "d": False, "e": True}
+    assert df.where("id IN ('c', 'e')").select(ft.first_embedding(F.col("e")).alias("v")).collect()[0]["v"] == [1.0, 2.0]
+    for i in "abd":
+        with pytest.raises(Exception, match="no embedding"):
+            df.where(F.col("id") == i).select(ft.first_embedding(F.col("e"))).collect()
+    called = []
+
+    def post(url, texts):
+        called.append((url, len(texts)))
+        return "[" + ",".join("[1.0, 2.0]" for _ in texts) + "]"
+
+    embed = api.rest_embedder("http://host:1/predictions/model", post)
+    assert embed(["x", "y"]).tolist() == [[1.0, 2.0], [1.0, 2.0]] and called == [("http://host:1/predictions/model", 2)]
+    with pytest.raises(ValueError, match="no embedding"):
+        api.rest_embedder("u", lambda u, t: "[]")(["x"])
+
+
+def test_comparison_of_two_modes(data):
+    vectors, asked, exact = data
+    rows = {r["query_id"]: r for r in api.compared(vectors, asked, "exact", "budgeted", visits=5).collect()}
+    assert len(rows) == 12 and all(r["visited"] == N and r["visited_other"] == 40 and abs(r["reduction"] - 0.9) < 1e-9 for r in rows.values())
+    same = api.compared(vectors, asked).collect()
+    assert {r["jaccard"] for r in same} == {r["recall"] for r in same} == {1.0}
+    assert {r["k"] for r in api.defaults(asked.withColumn("k", F.lit(0)), 100).collect()} == {100}
+
+
 def test_batches_blocks_and_parts_do_not_change_the_result(spark, data):
     """Many small batches, a grid of blocks of queries and records, and routed parts give what one matrix product gives."""
     vectors, asked, exact = data

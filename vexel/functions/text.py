@@ -40,3 +40,13 @@ def prefixed(text: Column, prefix: str = "query: ") -> Column:
 def embeddings(json: Column) -> Column:
     """array<array<float>> of a JSON list of lists; an error for malformed JSON."""
     return F.from_json(json, "array<array<float>>", {"mode": "FAILFAST"})
+
+
+def has_embedding(vectors: Column) -> Column:
+    """Whether an array<array<float>> has a first element that is not empty; only that one counts."""
+    return F.coalesce((F.size(vectors) > 0) & (F.size(F.get(vectors, 0)) > 0), F.lit(False))
+
+
+def first_embedding(vectors: Column) -> Column:
+    """array<float>: the first of an array<array<float>>; an error where there is none."""
+    return F.when(has_embedding(vectors), F.get(vectors, 0)).otherwise(F.raise_error(F.lit("no embedding")))

@@ -36,3 +36,8 @@ def in_order(members: DataFrame, most: int = -1) -> DataFrame:
     # A cluster's members are few; the window is over all of them.
     out = members.withColumn("position", F.row_number().over(Window.orderBy(at, F.asc_nulls_last("member_id"), "shard_id", "replica_id")))
     return out if most < 0 else out.where(F.col("position") <= most)
+
+
+def same_members(members: DataFrame) -> DataFrame:
+    """(host, grpc_port, shard_id, replica_id, n): members that are equal in all four, nulls being equal to each other, and how many there are."""
+    return members.groupBy("host", "grpc_port", "shard_id", "replica_id").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
+from ..functions import vectors as fv
 from ..operators import collaborative, compare, documents, routing, search
 from ..sources import collection
 
@@ -73,6 +75,30 @@ def embedded(texts: DataFrame, column: str, embedder: Callable[[list[str]], np.n
     return texts.withColumn("vector", run(F.col(column)))
 
 
+def rest_embedder(url: str, post: Callable[[str, list[str]], str]) -> Callable[[list[str]], np.ndarray]:
+    """An embedder behind a service that takes a list of texts and answers with a JSON list of vectors, one for each text.
+
+    post(url, texts) does the request and returns the body. ValueError for an answer without a vector for each text."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        made = json.loads(post(url, texts))
+        if len(made) < len(texts) or not all(made):
+            raise ValueError("no embedding")
+        return np.array(made[: len(texts)], np.float32)
+
+    return embed
+
+
+def defaults(queries: DataFrame, default_k: int) -> DataFrame:
+    """queries with k null or < 1 replaced."""
+    return queries.withColumn("k", F.when(F.col("k") >= 1, F.col("k")).otherwise(default_k).cast("int"))
+
+
+def numbered(queries: DataFrame) -> DataFrame:
+    """queries with a random query_id where it is null or blank. Written before it is used twice, or ids will differ."""
+    return queries.withColumn("query_id", F.when(F.trim("query_id") != "", F.col("query_id")).otherwise(F.uuid()))
+
+
 def text_search(vectors: DataFrame, texts: DataFrame, *, k: int = 10, prefix: str = "query: ", embedder: Callable[[list[str]], np.ndarray] | None = None, **options: object) -> DataFrame:
     """texts(query_id, text): prefix and embed each text, then search; texts that are null or without any word have no hits."""
     queries = embedded(texts.withColumn("prefixed", ft.prefixed(F.col("text"), prefix)), "prefixed", embedder or hashing_embedder())
@@ -80,10 +106,27 @@ def text_search(vectors: DataFrame, texts: DataFrame, *, k: int = 10, prefix: st
     return vector_search(vectors, asked, **options)
 
 
-def compared(vectors: DataFrame, queries: DataFrame, one: str = "exact", two: str = "collaborative", **options: object) -> DataFrame:
-    """(query_id, jaccard, recall) of mode `two` against mode `one`."""
-    a, b = MODES[one](vectors, queries), MODES[two](vectors, queries, **options)
-    return compare.overlap(a, b).join(compare.recall(b, a), "query_id", "left")
+def visited(vectors: DataFrame, queries: DataFrame, mode: str, **options: object) -> DataFrame:
+    """(query_id, visited): how many records a search of this mode scores for each query."""
+    if mode == "budgeted":
+        return search.nearest(vectors, queries, visits=options["visits"]).groupBy("query_id").agg(F.count("*").alias("visited"))
+    if mode == "routed":
+        near = routing.routes(queries, routing.mean_centroids(vectors), **options).select("query_id", "shard_id")
+        return search.visits(vectors, queries).join(near, ["query_id", "shard_id"], "left_semi").groupBy("query_id").agg(F.sum("visited").alias("visited"))
+    return search.metrics(search.visits(vectors, queries)).select("query_id", F.col("total_visited").alias("visited"))
+
+
+def compared(vectors: DataFrame, queries: DataFrame, one: str = "exact", two: str = "collaborative", *, default_k: int = 100, **options: object) -> DataFrame:
+    """(query_id, jaccard, recall, visited, visited_other, reduction) of mode `two`, with options, against mode `one`, for every query.
+
+    k null or < 1 counts as default_k. Queries without hits in both are alike: jaccard and recall 1."""
+    asked = defaults(queries, default_k)
+    a, b = MODES[one](vectors, asked), MODES[two](vectors, asked, **options)
+    both = compare.overlap(a, b).join(compare.recall(b, a), "query_id", "full")
+    work = visited(vectors, asked, one).join(visited(vectors, asked, two, **options).withColumnRenamed("visited", "visited_other"), "query_id", "full")
+    none = lambda name: F.coalesce(name, F.lit(0).cast("bigint"))
+    out = asked.select("query_id").join(both, "query_id", "left").join(work, "query_id", "left")
+    return out.select("query_id", F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), F.coalesce("recall", F.lit(1.0)).alias("recall"), none("visited").alias("visited"), none("visited_other").alias("visited_other"), compare.visit_reduction(none("visited"), none("visited_other")).alias("reduction"))
 
 
 def build_collection(vectors: DataFrame, path: str, *, shards: int = 8, chunks: DataFrame | None = None, policy: str = "round_robin") -> None:
@@ -91,7 +134,9 @@ def build_collection(vectors: DataFrame, path: str, *, shards: int = 8, chunks:
     rows = vectors.join(chunks, "vec_id", "left") if chunks is not None else vectors.withColumn("chunk", F.lit(None).cast("string"))
     if policy == "kmeans":
         placed = routing.kmeans_shards(rows.withColumn("global_id", F.col("vec_id")), shards)
-        placed = placed.withColumn("local_doc", F.col("vec_id").cast("int"))
+        fits = (F.col("vec_id") >= 0) & (F.col("vec_id") < 2**31)
+        local = F.when(fits, F.col("vec_id").cast("int")).otherwise(F.raise_error(F.lit("local number out of range")).cast("int"))
+        placed = placed.withColumn("local_doc", local).withColumn("global_id", fv.global_id(F.col("shard_id"), F.col("local_doc")))
     else:
         placed = collection.assign_shards(rows, "vec_id", shards, policy)
     collection.write_collection(placed, path)

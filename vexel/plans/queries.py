@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import catalog, collaborative, compare, documents, routing, search
-from ..sources.collection import assign_shards, chunks, members, records, requests, statistics, table
+from ..sources.collection import assign_shards, chunks, cluster_config, members, open_shard, read_vectors, records, requests, statistics, table
 from ..sources.saved import saved, scratch
 from ..streaming import live
 from . import api
@@ -327,10 +327,11 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_query_topk(spark: SparkSession, d: str) -> DataFrame:
     out = scratch(spark, "answers")
-    sink = lambda df: df.select(*HIT).write.mode("append").parquet(out)
-    q = live.answer(live.source(spark, d, "search_request"), records(spark, d), sink, scratch(spark, "state"))
+    write = live.table_sink(out)
+    q = live.answer(live.source(spark, d, "search_request"), records(spark, d), lambda df, n: write(df.select(*HIT), n), scratch(spark, "state"), deadline=600)
     q.awaitTermination()
-    return spark.read.schema("query_id string, global_id bigint, score double, rank int").parquet(out).distinct()
+    # A request that is delivered again in a later batch has the same answer.
+    return live.answers(spark, out, "query_id string, global_id bigint, score double, rank int").distinct()
 
 
 def stream_floor_max(spark: SparkSession, d: str) -> DataFrame:
@@ -345,6 +346,82 @@ def stream_floor_state(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("query_id").agg(F.max("floor").alias("floor"))
 
 
+def stream_coordinate(spark: SparkSession, d: str) -> DataFrame:
+    """The highest floor that each query was answered with, and whether its answers carried a hint."""
+    df = live.coordinate_answers(live.source(spark, d, "coordinate_request"))
+    out = live.run_to_table(df, f"coordinate_{uuid.uuid4().hex}", scratch(spark, "state"), "update")
+    return out.groupBy("query_id").agg(F.max("floor").alias("floor"), F.max(F.col("hint").isNotNull()).alias("hinted"))
+
+
+def compare_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The exact search against one of 20 records in every shard, with the k of a comparison where a request names none."""
+    t = table(spark, d, "search_request").where(F.col("query_id").isNotNull() & fv.is_valid(F.col("vector"), 64))
+    asked = t.groupBy("query_id").agg(F.first("vector").alias("vector"), F.max("k").alias("k"))
+    out = api.compared(records(spark, d), asked, "exact", "budgeted", visits=20)
+    return out.select("query_id", F.round("jaccard", 6).alias("jaccard"), F.round("recall", 6).alias("recall"), "visited", "visited_other", F.round("reduction", 6).alias("reduction"))
+
+
+def compare_collaborative(spark: SparkSession, d: str) -> DataFrame:
+    """The exact search against that with floors, which loses nothing."""
+    out = api.compared(*_rq(spark, d), "exact", "collaborative")
+    return out.select("query_id", F.round("jaccard", 6).alias("jaccard"), F.round("recall", 6).alias("recall"))
+
+
+def shard_build_open(spark: SparkSession, d: str) -> DataFrame:
+    """A collection of the embeddings, built in folders by shard from files, and one shard of it read back."""
+    files, built = scratch(spark, "vectors"), scratch(spark, "collection")
+    table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector")).write.parquet(files)
+    api.build_collection(read_vectors(spark, files), built, shards=8)
+    return open_shard(spark, built, 3).select("vec_id", "shard_id", "local_doc", "global_id", F.round(fv.norm(F.col("vector")), 5).alias("norm"))
+
+
+def cluster_config_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of a cluster's JSON file, written from the catalogue."""
+    at = scratch(spark, "cluster")
+    node = F.struct(F.col("node_host").alias("host"), "ip", F.col("shard_id").alias("shard"), F.col("node_role").alias("role"), "mem")
+    nodes = table(spark, d, "shard_metadata").agg(F.collect_list(node).alias("nodes")).withColumn("seed_ip", F.lit("10.0.0.1"))
+    nodes.coalesce(1).write.json(at)
+    return cluster_config(spark, at)
+
+
+def flag_values(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by the flag that their text of "collaborative" stands for: everything but false is true."""
+    r = table(spark, d, "search_request").select(ft.flag(F.col("collaborative").cast("string")).alias("flag"))
+    return r.groupBy("flag").agg(F.count("*").alias("n"))
+
+
+def request_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """The k of each request as a text search and as a comparison take it."""
+    t = table(spark, d, "search_request").where(F.col("query_id").isNotNull()).select("query_id", "k")
+    out = api.defaults(t.withColumn("asked", F.col("k")), 10).withColumnRenamed("k", "k_text").withColumnRenamed("asked", "k")
+    return api.defaults(out, 100).groupBy("query_id").agg(F.max("k_text").alias("k_text"), F.max("k").alias("k_compare"))
+
+
+def query_ids_made(spark: SparkSession, d: str) -> DataFrame:
+    """Random ids for requests without one: how many rows, distinct ids, and ids of the right form there are."""
+    made = saved(api.numbered(table(spark, d, "search_request").select(F.lit(None).cast("string").alias("query_id"))))
+    form = F.col("query_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return made.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("n_ids"), F.count_if(form).alias("n_good"))
+
+
+def metadata_equal(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.same_members(members(spark, d))
+
+
+def embedding_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of an embedding service, every seventh of them without a vector: whether they have one, and the length of the first."""
+    e = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, "[]").otherwise(F.to_json(F.array("embedding"))).alias("body"))
+    v = e.select("vec_id", ft.embeddings(F.col("body")).alias("v"))
+    return v.select("vec_id", ft.has_embedding(F.col("v")).alias("ok"), F.when(ft.has_embedding(F.col("v")), F.size(ft.first_embedding(F.col("v")))).alias("dim"))
+
+
+def windowed_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits by ten minutes of event time, as the streaming aggregate counts them over the stored table."""
+    r = table(spark, d, "search_response").where((F.col("global_id") <= LAST_ID) & F.col("query_id").isNotNull())
+    out = live.windowed_hits(r)
+    return out.select("begin", "query_id", "n_hits", F.col("best").cast("double").alias("best"))
+
+
 NAMES = """
 knn_exact_topk knn_batch_topk knn_dot_topk knn_euclidean_topk global_id_encode shard_assign_round_robin knn_per_shard_topk
 knn_per_shard_k_merge knn_hydrate_chunks knn_shard_metrics knn_max_peers index_stats vector_dimension signature_words
@@ -354,6 +431,8 @@ discovery_dedupe_replicas discovery_collection_filter discovery_exclude_self res
 node_status knn_distinct_docs knn_satisfied_antijoin knn_max_chunks_per_doc knn_all_chunk_enrich doc_shard_map knn_two_phase
 knn_adaptive_budget knn_early_stop knn_routed_centroid route_specificity hint_centroid_bypass hint_signature_bypass
 hint_sketch16 knn_ivf_kmeans response_hits response_metrics response_merge response_running_best json_hits text_prefix
-parse_embeddings_json normalized_vectors text_search stream_query_topk stream_floor_max stream_floor_state
+parse_embeddings_json normalized_vectors text_search stream_query_topk stream_floor_max stream_floor_state stream_coordinate
+compare_modes compare_collaborative shard_build_open cluster_config_nodes flag_values request_defaults query_ids_made
+metadata_equal embedding_checked windowed_hits
 """.split()
 QUERIES = {name: globals()[name] for name in NAMES}

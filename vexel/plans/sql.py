@@ -132,4 +132,22 @@ SQL: dict[str, str] = {
     "stream_query_topk": _exact,
     "stream_floor_max": f"SELECT query_id, max(min_score)::DOUBLE AS floor FROM coordinate_request WHERE {FINITE} GROUP BY 1",
     "stream_floor_state": f"SELECT query_id, max(min_score)::DOUBLE AS floor FROM coordinate_request WHERE {FINITE} GROUP BY 1",
+    "stream_coordinate": """SELECT query_id, max(CASE WHEN isfinite(min_score) THEN min_score END)::DOUBLE AS floor, coalesce(max(octet_length(neighborhood_hint)), 0) > 0 AS hinted
+        FROM coordinate_request WHERE query_id IS NOT NULL GROUP BY 1""",
+    "compare_modes": BUDGET.replace("max(CASE WHEN k >= 1 THEN k ELSE 10 END) AS k", "CASE WHEN max(k) >= 1 THEN max(k) ELSE 100 END AS k") + """, sizes AS (SELECT sum(n)::BIGINT AS visited, sum(least(n, 20))::BIGINT AS other FROM (SELECT count(*) AS n FROM recs GROUP BY shard_id))
+        SELECT query_id, round(count(*) FILTER (t.score IS NOT NULL AND f.score IS NOT NULL) / count(*), 6) AS jaccard,
+            round(count(*) FILTER (t.score IS NOT NULL AND f.score IS NOT NULL) / count(t.score), 6) AS recall,
+            any_value(visited) AS visited, any_value(other) AS visited_other, round(1 - any_value(other) / any_value(visited), 6) AS reduction
+        FROM top t FULL JOIN few f USING (query_id, global_id), sizes GROUP BY 1""",
+    "compare_collaborative": BASE + "SELECT query_id, 1.0::DOUBLE AS jaccard, 1.0::DOUBLE AS recall FROM reqs",
+    "shard_build_open": """SELECT vec_id, 3 AS shard_id, (vec_id // 8)::INT AS local_doc, (3::BIGINT << 32) | (vec_id // 8) AS global_id,
+        round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings WHERE vec_id % 8 = 3""",
+    "cluster_config_nodes": "SELECT node_host AS host, ip, shard_id AS shard, node_role AS role, mem, '10.0.0.1' AS seed_ip, 4900 AS seed_port FROM shard_metadata",
+    "flag_values": "SELECT coalesce(collaborative, true) AS flag, count(*) AS n FROM search_request GROUP BY 1",
+    "request_defaults": """SELECT query_id, max(CASE WHEN k >= 1 THEN k ELSE 10 END)::INT AS k_text, max(CASE WHEN k >= 1 THEN k ELSE 100 END)::INT AS k_compare
+        FROM search_request WHERE query_id IS NOT NULL GROUP BY 1""",
+    "query_ids_made": "SELECT count(*) AS n, count(*) AS n_ids, count(*) AS n_good FROM search_request",
+    "metadata_equal": MEMBERS + "SELECT host, grpc_port, shard_id, replica_id, count(*) AS n FROM members GROUP BY ALL",
+    "embedding_checked": "SELECT vec_id, vec_id % 7 <> 0 AS ok, CASE WHEN vec_id % 7 <> 0 THEN len(embedding)::INT END AS dim FROM embeddings",
+    "windowed_hits": f"""SELECT time_bucket(INTERVAL 10 MINUTE, emitted_at) AS begin, query_id, count(*) AS n_hits, max(score)::DOUBLE AS best FROM search_response WHERE {HITS} AND emitted_at IS NOT NULL GROUP BY 1, 2""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -72,7 +72,9 @@ def assign_shards(rows: DataFrame, id_column: str, shards: int = 8, policy: str
         shard, local = F.pmod(F.xxhash64(i), F.lit(shards)), i
     else:
         raise ValueError(f"unknown policy {policy}")
-    out = rows.withColumn("shard_id", shard.cast("int")).withColumn("local_doc", local.cast("int"))
+    # Local numbers have 32 bits of an id: more are an error, not another record's number.
+    fits = F.when((local >= 0) & (local < 2**31), local.cast("int")).otherwise(F.raise_error(F.lit("local number out of range")).cast("int"))
+    out = rows.withColumn("shard_id", shard.cast("int")).withColumn("local_doc", fits)
     return out.withColumn("global_id", vectors.global_id(F.col("shard_id"), F.col("local_doc")))
 
 
@@ -81,6 +83,23 @@ def write_collection(rows: DataFrame, path: str, by: str = "shard_id") -> None:
     rows.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """(vec_id bigint, vector array<float>) of a file or folder: parquet or JSON lines with these columns, or text of one JSON list a line.
+
+    Lines of text are numbered in order of file and line from 0."""
+    if kind in ("parquet", "json"):
+        rows = spark.read.parquet(path) if kind == "parquet" else spark.read.schema("vec_id bigint, vector array<float>").json(path)
+        return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vector").cast("array<float>").alias("vector"))
+    if kind != "text":
+        raise ValueError(f"unknown kind {kind}")
+    lines = spark.read.text(path).select(F.from_json("value", "array<float>").alias("vector"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    # Lines are counted by partition and numbered from the sums before it, so no task sees them all.
+    placed = lines.withColumn("partition", F.shiftright("at", 33))
+    before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("partition").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.join(sums, "partition").select((F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("vec_id"), "vector")
+
+
 def open_shard(spark: SparkSession, path: str, shard: int, by: str = "shard_id") -> DataFrame:
     return spark.read.parquet(path).where(F.col(by) == shard)
 
