@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.saved import saved
+
 #: Components of a valid vector (fixed by the data).
 DIM = 64
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -20,24 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder named in spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary one is used."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if named:
-        sc.setCheckpointDir(named)
-        return
-    own = tempfile.mkdtemp(prefix="vexel-checkpoint-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: later stages, and a retry after a lost executor, read them from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return saved(df)
 
 
 # ---- texts

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from . import cells as routing
 from .common import cosine, is_valid, mix64, unit, vectors_of
 
-DEGREE, BEAM, ALPHA, OPEN, ENTRIES = 32, 40, 1.2, 4, 256
+#: Edges of a vector, beam of insertions and narrow beam of queries, relaxation of pruning, vectors opened at once, entry points.
+DEGREE, BEAM, SEEK, ALPHA, OPEN, ENTRIES = 48, 64, 40, 1.2, 4, 256
 #: Queries that walk at once: bounds the tables of seen vectors.
 BLOCK = 512
 #: Vectors that a shard should hold; one with more than twice as many is split.
@@ -146,7 +147,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     return edges, entries
 
 
-def search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, k: np.ndarray, floor: float | None, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, k: np.ndarray, floor: float | None, beam: int = SEEK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, similarity): for each unit query its k best (k an array); with a floor those under it are left out.
 
     The beam holds 1.5 k + 24 vectors at least. Where a floor is given, a narrow beam comes first, and only queries
