@@ -137,7 +137,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, seed: int =
         raise ValueError(f"more than {MOST_TARGETS} targets")
     drawn = draw(spark, plan_sources(rows, block, seed), seed)
     used = drawn.groupBy("plan", "source", "block").agg(F.count("*").alias("times"))
-    taken = pieces(good, block).join(used, ["source", "block"])
+    # Both sides grow with the data: neither is ever broadcast.
+    taken = pieces(good, block).join(used.hint("merge"), ["source", "block"])
     copies = taken.groupBy("plan", "source", "id").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").cast("int").alias("times"))
     reached = copies.groupBy("plan", "source").agg(F.sum("tokens").alias("reached"))
     report = sized.join(reached, ["plan", "source"], "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
