@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,3 +98,30 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
+
+
+# ---- Arrow batches
+
+
+def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables that hold all rows of their groups, for batches in which groups stand together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = b.column(column).to_numpy()
+        change = np.nonzero(v[1:] != v[:-1])[0]
+        last = int(change[-1]) + 1 if len(change) else 0
+        first = held and held[-1].column(column)[-1].as_py() != v[0]
+        if first or last:
+            if not first:
+                held.append(b.slice(0, last))
+                b = b.slice(last)
+            elif last:
+                held.append(b.slice(0, last))
+                b = b.slice(last)
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -17,13 +17,15 @@ names its attractor, and columns with the same attractor are a cluster; members
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cells as routing
-from .common import cut, is_valid, mix64, unit, vectors_of
+from .common import by_group, cut, is_valid, mix64, unit, vectors_of
 
 LINKS = "id bigint, landmark bigint, weight double, degree bigint, mark bigint, own bigint"
 #: Bits of a record's mark: sums over 30 million neighbours stay within a bigint.
@@ -178,19 +180,23 @@ def flow(matrix: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, roun
 
     Ends when every column is within `settled` of even flow between its attractors (largest entry minus sum of squares).
     Raises if that is not so after `rounds`; with 0 rounds it only brings columns to a sum of 1."""
-    column = Window.partitionBy("col")
-    most = Window.partitionBy("col").orderBy(F.desc("value"), "row")
-    normal = lambda df: df.withColumn("value", F.col("value") / F.sum("value").over(column))
-    # Where all entries are small, the largest stay.
-    kept = lambda df: df.withColumn("n", F.row_number().over(most)).withColumn("top", F.max("value").over(column)).where((F.col("n") <= round(1 / prune)) & (F.col("value") >= F.least(F.lit(prune), F.col("top") / 2))).drop("n", "top")
-    m = cut(normal(matrix))
-    for n in range(rounds):
-        lists = m.groupBy("col").agg(F.collect_list(F.struct("row", "value")).alias("entries")).withColumnRenamed("col", "via")
-        step = m.select("col", F.col("row").alias("via"), F.col("value").alias("v")).join(lists, "via").select("col", "v", F.explode("entries").alias("e"))
-        squared = step.groupBy("col", F.col("e.row").alias("row")).agg(F.sum(F.col("v") * F.col("e.value")).alias("value"))
-        inflated = normal(squared.withColumn("value", F.pow("value", F.lit(inflation))))
-        m = cut(normal(kept(inflated)))
-        chaos = m.groupBy("col").agg((F.max("value") - F.sum(F.col("value") * F.col("value"))).alias("c")).agg(F.max("c")).first()[0]
+
+    def columns(df: DataFrame, inflation: float, prune: float) -> DataFrame:
+        """(col, row, value) -> (col, row, value, chaos): equal rows of a column added up, inflated, pruned, of sum 1. A column goes to one task: it is short."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in by_group(batches, "col"):
+                yield new_columns(*(t[n].to_numpy() for n in ("col", "row", "value")), inflation, prune)
+
+        return df.select("col", "row", "value").repartition("col").sortWithinPartitions("col").mapInArrow(run, "col bigint, row bigint, value double, chaos double")
+
+    m = cut(columns(matrix, 1.0, 0.0).drop("chaos"))
+    for _ in range(rounds):
+        via = m.select(F.col("col").alias("via"), F.col("row").alias("to"), F.col("value").alias("w"))
+        step = m.withColumnRenamed("row", "via").join(via, "via").select("col", F.col("to").alias("row"), (F.col("value") * F.col("w")).alias("value"))
+        m = cut(columns(step, inflation, prune))
+        chaos = m.agg(F.max("chaos")).first()[0]
+        m = m.drop("chaos")
         if chaos is None or chaos < settled:
             return m
     if rounds:
@@ -198,6 +204,26 @@ def flow(matrix: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, roun
     return m
 
 
+def new_columns(col: np.ndarray, row: np.ndarray, value: np.ndarray, inflation: float, prune: float) -> pa.RecordBatch:
+    """See flow(). Where all entries of a column are small, the largest stay; of equal ones those of smaller rows."""
+    order = np.lexsort((row, col))
+    col, row, value = col[order], row[order], value[order]
+    first = np.nonzero(np.concatenate([[True], (col[1:] != col[:-1]) | (row[1:] != row[:-1])]))[0]
+    col, row, value = col[first], row[first], np.add.reduceat(value, first) ** inflation
+    begin = np.nonzero(np.concatenate([[True], col[1:] != col[:-1]]))[0]
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(col))))
+    value /= np.add.reduceat(value, begin)[of]
+    if prune:
+        order = np.lexsort((row, -value, of))
+        col, row, value = col[order], row[order], value[order]
+        keep = (np.arange(len(of)) - begin[of] < round(1 / prune)) & (value >= np.minimum(prune, value[begin] / 2)[of])
+        col, row, value, of = col[keep], row[keep], value[keep], of[keep]
+        begin = np.searchsorted(of, np.arange(len(begin)))
+        value /= np.add.reduceat(value, begin)[of]
+    chaos = np.maximum.reduceat(value, begin) - np.add.reduceat(value * value, begin)
+    return pa.RecordBatch.from_arrays([pa.array(col), pa.array(row), pa.array(value), pa.array(chaos[of])], names=["col", "row", "value", "chaos"])
+
+
 def attracted(matrix: DataFrame) -> DataFrame:
     """(id, cluster): the attractor of each column, which is the row of its largest entry (the smaller row of equal ones), or that row's own."""
     first = matrix.groupBy("col").agg(F.max_by("row", F.struct("value", -F.col("row"))).alias("row"))

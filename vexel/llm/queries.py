@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import facility, graph, leak, markov, mixing, omh, radix, spans, topn
-from .common import canonical, read
+from .common import canonical, cut, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,14 +51,24 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_hint_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of signatures at most 6 of 64 bits apart: each distinct hint counts once; its sign bits are a vector of 1 and -1."""
-    hints = read(spark, d, "coordinate_request").where(F.octet_length("neighborhood_hint") == 8).select(F.conv(F.hex("neighborhood_hint"), 16, -10).cast("bigint").alias("id"), "neighborhood_hint").distinct()
-    byte = lambda i: F.conv(F.hex(F.substring("neighborhood_hint", F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = lambda i: byte(i).bitwiseAND(F.pow(F.lit(2.0), i % 8).cast("int")) > 0
-    signs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(bit(i), 1.0).otherwise(-1.0).cast("float"))
-    found = markov.clusters(hints.select("id", signs.alias("vector")), floor=1 - 2 * 6 / 64)
+    hints = read(spark, d, "coordinate_request").where(F.octet_length("neighborhood_hint") == 8).select("neighborhood_hint").distinct()
+    found = markov.clusters(cut(signs(hints)), floor=1 - 2 * 6 / 64)
     return found.where(F.col("size") >= 2).select("cluster_id", F.col("id").alias("signature"), "size", "typical")
 
 
+def signs(hints: DataFrame) -> DataFrame:
+    """(neighborhood_hint of 8 bytes) -> (id bigint, vector array<float>): the bytes as a number, the first one highest, and 1 or -1 for each bit i at byte i >> 3, place i & 7."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 8)
+                v = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32) * 2 - 1
+                yield pa.RecordBatch.from_arrays([pa.array(raw.copy().view(">i8").ravel().astype(np.int64)), pa.ListArray.from_arrays(np.arange(0, v.size + 1, 64, dtype=np.int32), pa.array(v.ravel()))], names=["id", "vector"])
+
+    return hints.select("neighborhood_hint").mapInArrow(run, "id bigint, vector array<float>")
+
+
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     records = read(spark, d, "index_records").select(F.col("global_id").alias("id"), "vector", "chunk")
     return facility.varied_subset(records, share=0.02).withColumnRenamed("id", "global_id")
