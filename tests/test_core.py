@@ -257,7 +257,7 @@ def test_answers_with_floor_and_hint(spark, tmp_path):
     for n, part in enumerate(rows):
         spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
     stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    out = live.run_to_table(live.coordinate_answers(stream), "answers_of_test", str(tmp_path / "state"), "update").collect()
+    out = live.run_to_table(live.coordinate_answers(stream), str(tmp_path / "answers"), str(tmp_path / "state"), "update").collect()
     assert {(r["query_id"], round(r["floor"], 3) if r["floor"] is not None else None) for r in out} >= {("q", 0.9), ("r", -0.5)}
     assert {bytes(r["hint"]) for r in out if r["query_id"] == "r"} == {b"z"}
     # no answer is lower than one before, and a late floor of a named query only comes with its shard's hint kept
@@ -268,7 +268,7 @@ def test_windowed_hits(spark, tmp_path):
     rows = [("q", 0.5, "2024-01-01 00:01:00"), ("q", 0.9, "2024-01-01 00:02:00"), ("q", float("nan"), "2024-01-01 00:03:00"), ("q", 0.1, "2024-01-01 00:11:00")]
     spark.createDataFrame(rows, "query_id string, score double, emitted_at string").select("query_id", "score", F.col("emitted_at").cast("timestamp").alias("emitted_at")).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("query_id string, score double, emitted_at timestamp").parquet(str(tmp_path / "in"))
-    out = live.run_to_table(live.windowed_hits(stream), "windows_of_test", str(tmp_path / "state"), "complete").collect()
+    out = live.run_to_table(live.windowed_hits(stream), str(tmp_path / "windows"), str(tmp_path / "state"), "complete").collect()
     assert sorted((r["begin"].minute, r["n_hits"], r["best"]) for r in out) == [(0, 2, 0.9), (10, 1, 0.1)]
 
 

@@ -206,7 +206,7 @@ def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None,
                     scored_into(kept, distinct_rows(b, by or ("shard_id" if bounds else None)), q, metric, floor, bounds)
             yield from sliced(hits_of(kept, ids, own_k))
 
-        return rows.mapInArrow(run, HITS)
+        return by_query(rows.mapInArrow(run, HITS))
 
     parts = max(1, -(-vectors.count() // PART))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -221,7 +221,12 @@ def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None,
             scored_into(kept, distinct_rows(one_batch(data), by or ("shard_id" if bounds else None)), q, metric, floor, bounds)
         return pa.Table.from_batches([hits_of(kept, ids, own_k)])
 
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(pair, HITS)
+    return by_query(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(pair, HITS))
+
+
+def by_query(hits: DataFrame) -> DataFrame:
+    """Partial hits in partitions by query: telling repeated ids apart and ranking, by shard or over all, need no other shuffle."""
+    return hits.repartition("query_id")
 
 
 def one_batch(t: pa.Table) -> pa.RecordBatch:
@@ -257,7 +262,7 @@ def visiting(vectors: DataFrame, routes: DataFrame, *, part: int = PART, block:
         hits = hits_of(kept, t["query_id"].combine_chunks() if t.num_rows else pa.array([], pa.string()), own_k)
         return pa.Table.from_batches([hits]).append_column("visited", pa.array(np.full(hits.num_rows, n, np.int64)))
 
-    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(pair, HITS + ", visited bigint")
+    return by_query(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(pair, HITS + ", visited bigint"))
 
 
 def ranked(hits: DataFrame, *keys: str) -> DataFrame:
@@ -349,7 +354,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, visits: int) -> DataFrame
         part = vectors.select("shard_id", "parent_id", "global_id", "vector").mapInArrow(run, HITS + ", distance int")
         out = part if out is None else out.unionByName(part)
     turn = Window.partitionBy("query_id", "shard_id").orderBy("distance", "global_id")
-    return once(out).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= visits).drop("turn")
+    return once(by_query(out)).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= visits).drop("turn")
 
 
 def budgeted(vectors: DataFrame, queries: DataFrame, *, visits: int, k: int | None = None) -> DataFrame:

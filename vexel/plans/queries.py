@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -336,20 +334,20 @@ def stream_query_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_floor_max(spark: SparkSession, d: str) -> DataFrame:
     df = live.floor_maximum(live.source(spark, d, "coordinate_request"))
-    out = live.run_to_table(df, f"floors_{uuid.uuid4().hex}", scratch(spark, "state"), "complete")
+    out = live.run_to_table(df, scratch(spark, "floors"), scratch(spark, "state"), "complete")
     return out.select("query_id", F.col("floor").cast("double").alias("floor"))
 
 
 def stream_floor_state(spark: SparkSession, d: str) -> DataFrame:
     df = live.floor_state(live.source(spark, d, "coordinate_request"))
-    out = live.run_to_table(df, f"states_{uuid.uuid4().hex}", scratch(spark, "state"), "update")
+    out = live.run_to_table(df, scratch(spark, "states"), scratch(spark, "state"), "update")
     return out.groupBy("query_id").agg(F.max("floor").alias("floor"))
 
 
 def stream_coordinate(spark: SparkSession, d: str) -> DataFrame:
     """The highest floor that each query was answered with, and whether its answers carried a hint."""
     df = live.coordinate_answers(live.source(spark, d, "coordinate_request"))
-    out = live.run_to_table(df, f"coordinate_{uuid.uuid4().hex}", scratch(spark, "state"), "update")
+    out = live.run_to_table(df, scratch(spark, "coordinate"), scratch(spark, "state"), "update")
     return out.groupBy("query_id").agg(F.max("floor").alias("floor"), F.max(F.col("hint").isNotNull()).alias("hinted"))
 
 

@@ -147,18 +147,27 @@ def windowed_hits(hits: DataFrame, *, late: str = "1 hour", length: str = "10 mi
     return out.select(F.col("w.start").alias("begin"), "query_id", "n_hits", "best")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns the result table that it kept in memory; for tests and small results."""
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there, writes each batch of its result to a folder in path, and returns the rows: of all
+    batches in mode update or append, of the last one in mode complete."""
     # State with a timeout on the clock makes a batch without data whenever it can, so such a run would not end.
-    conf, name_ = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name_)
-    conf.set(name_, "false")
+    spark, name = df.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    write, last = table_sink(path), [-1]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        last[0] = number
+
+    spark.conf.set(name, "false")
     try:
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
             q.awaitTermination()
         finally:
             q.stop()
     finally:
-        conf.set(name_, before)
-    return df.sparkSession.table(name)
+        spark.conf.set(name, before)
+    if last[0] < 0:
+        return spark.createDataFrame([], df.schema)
+    return answers(spark, f"{path}/batch={last[0]}" if mode == "complete" else path, df.schema)
