@@ -357,3 +357,21 @@ def test_saved_needs_a_shared_folder(spark):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(RuntimeError):
             saved.base_dir(Session())
+
+
+def test_hint_rescues_records_beyond_the_best(spark, data):
+    """A record near the hint is a hit though more than k better ones of its shard are neither near nor reach the floor."""
+    vectors, asked, _ = data
+    x = {r["global_id"]: np.array(r["vector"]) for r in vectors.collect()}
+    target = {r["query_id"]: r["global_id"] for r in search.per_shard(vectors, asked, k=30).where("shard_id = 2 AND rank = 30").collect()}
+    rows = [(q, np.where(x[i] >= 0, 1.0, -1.0).tolist()) for q, i in target.items()]
+    hinted = asked.join(spark.createDataFrame(rows, "query_id string, extra array<float>"), "query_id")
+    near = routing.bypassing(0.99, routing.signs_apart(1))
+    got = {(r["query_id"], r["global_id"]) for r in search.per_shard(vectors, hinted, k=5, allow=near).collect()}
+    assert set(target.items()) <= got
+    grid = search.candidates(vectors, hinted, by="shard_id", k=5, allow=near, block=5)
+    assert {(r["query_id"], r["global_id"]) for r in search.once(grid).collect()} == got
+    none = hinted.withColumn("extra", F.array_repeat(F.lit(0.0), DIM).cast("array<float>"))
+    assert all(r["score"] >= 0.99 for r in search.per_shard(vectors, none, k=5, allow=near).collect())
+    bits = spark.createDataFrame([(bytearray([5, 128]),), (bytearray([1]),), (None,)], "b binary").select(fv.signs_of_bytes(F.col("b"), 16)).collect()
+    assert [r[0] for r in bits] == [[1, -1, 1] + [-1] * 12 + [1], None, None]

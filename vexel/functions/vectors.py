@@ -93,3 +93,10 @@ def shard_of(id_: Column) -> Column:
 
 def local_of(id_: Column) -> Column:
     return id_.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def signs_of_bytes(signature: Column, bits: int) -> Column:
+    """array<double> of 1 and -1 for the bits of a binary signature, bit i at byte i >> 3, place i & 7; null unless it has exactly these bits."""
+    byte = lambda i: F.conv(F.hex(F.substring(signature, F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    sign = lambda i: F.when(F.shiftright(byte(F.lit(i)), i % 8).bitwiseAND(F.lit(1)) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return F.when(F.octet_length(signature) * 8 == bits, F.array(*[sign(i) for i in range(bits)]))

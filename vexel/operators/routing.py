@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +200,26 @@ def kmeans_shards(vectors: DataFrame, shards: int = 8, seed: int = 42, iteration
     return vectors.select(*names).mapInArrow(run, schema)
 
 
+def bypassing(floor: float, near: Callable) -> Callable:
+    """For search.per_shard(allow=): records that reach the floor, and those for which near(queries, extra, vectors) holds."""
+    return lambda q, extra, x, s: (s >= floor) | near(q, extra, x)
+
+
+def signs_apart(most: int) -> Callable:
+    """near: the signature of the record differs from the query's hint in fewer than `most` bits; extra: 1 and -1 for the hint's bits, 0 without a hint."""
+
+    def near(q: np.ndarray, extra: np.ndarray, x: np.ndarray) -> np.ndarray:
+        far = (x.shape[1] - extra @ np.where(x >= 0, 1.0, -1.0).T) / 2
+        return (far < most) & (np.abs(extra).sum(1) > 0)[:, None]
+
+    return near
+
+
+def beginning_near(size: int, least: float) -> Callable:
+    """near: the first `size` components are alike by search's euclidean score."""
+    return lambda q, extra, x: search.scores(q[:, :size], x[:, :size], "euclidean") >= least
+
+
 def bypass(hits: DataFrame, floor: float, near: object) -> DataFrame:
     """Hits that reach the floor, and those for which the hint's predicate holds, marked as such."""
     return hits.withColumn("by_hint", F.col("score") < floor).where((F.col("score") >= floor) | F.coalesce(near, F.lit(False)))

@@ -7,7 +7,7 @@ request is routed to. Scores are reckoned in double and rounded to 6 decimals; t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,9 +132,10 @@ def segments(group: np.ndarray | None, n: int) -> list[tuple[int, int]]:
     return list(zip(edge, [*edge[1:], n]))
 
 
-def scored_into(kept: Kept, b: pa.RecordBatch, q: np.ndarray, metric: str, floor: np.ndarray | None, bounds: tuple | None = None) -> None:
+def scored_into(kept: Kept, b: pa.RecordBatch, q: np.ndarray, metric: str, floor: np.ndarray | None, bounds: tuple | None = None, allow: Callable | None = None, extra: np.ndarray | None = None) -> None:
     """Scores a batch of distinct rows, in order of kept.by, for all queries, and adds what may be among the best.
 
+    allow(queries, their extra values, vectors, scores) -> which [queries, rows] may be hits at all.
     bounds(shard numbers in order, function of queries -> the highest score that a record of each shard can have): a shard
     whose bound is under a query's floor is not scored for it."""
     kept.batch()
@@ -158,6 +159,8 @@ def scored_into(kept: Kept, b: pa.RecordBatch, q: np.ndarray, metric: str, floor
             kept.add(r + at, parent[c], gid[c], s[r, c], shard[c], parent[c])
             continue
         whole = scores(q[at:end], x, metric) if bounds is None else None
+        if allow is not None:
+            whole = np.where(allow(q[at:end], extra[at:end] if extra is not None else None, x, whole), whole, -np.inf)
         most = bounds[1](q[at:end]) if bounds else None
         for e0, e1 in parts:
             own = np.arange(end - at) if bounds is None else np.nonzero(most[:, np.searchsorted(bounds[0], group[e0])] >= low)[0]
@@ -179,31 +182,32 @@ def floors_of(t: pa.Table) -> np.ndarray | None:
     return np.nan_to_num(t["floor"].to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf) if "floor" in t.column_names else None
 
 
-def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None, metric: str = "cosine", k: int | None = None, bounds: tuple | None = None, block: int = QUERIES) -> DataFrame:
+def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None, metric: str = "cosine", k: int | None = None, bounds: tuple | None = None, allow: Callable | None = None, block: int = QUERIES) -> DataFrame:
     """HITS: of each task's records the k best for each query, or for each query and shard (by="shard_id"); or the best
-    record of each of the k best documents (by="parent_id"). queries(query_id, vector, k [, floor double]). bounds: see
-    scored_into(). With more than `block` queries, blocks of queries and of records meet in a grid."""
+    record of each of the k best documents (by="parent_id"). queries(query_id, vector, k [, floor double] [, extra
+    array<float> of one length]). bounds and allow (not both, nor allow by document): see scored_into(). With more than `block` queries, blocks of queries and of records meet in a grid."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     if k is not None and k < 1:
         raise ValueError("k must be at least 1")
-    columns = ["query_id", "vector", "k", *(["floor"] if "floor" in queries.columns else [])]
+    columns = ["query_id", "vector", "k", *(c for c in ("floor", "extra") if c in queries.columns)]
     asked, rows = queries.select(*columns), vectors.select("shard_id", "parent_id", "global_id", "vector")
     blocks = max(1, -(-asked.count() // block))
 
     def keep(t: pa.Table) -> tuple:
         own_k = t["k"].to_numpy().astype(np.int64)
         ids = t["query_id"].combine_chunks() if t.num_rows else pa.array([], pa.string())
-        return matrix(t["vector"]), ids, own_k, own_k if k is None else np.full(len(own_k), k), floors_of(t)
+        extra = matrix(t["extra"]) if "extra" in columns else None
+        return matrix(t["vector"]), ids, own_k, own_k if k is None else np.full(len(own_k), k), floors_of(t), extra
 
     if blocks == 1:
-        q, ids, own_k, limit, floor = keep(asked.toArrow())
+        q, ids, own_k, limit, floor, extra = keep(asked.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = Kept(limit, by)
             for b in batches:
                 if b.num_rows and len(q):
-                    scored_into(kept, distinct_rows(b, by or ("shard_id" if bounds else None)), q, metric, floor, bounds)
+                    scored_into(kept, distinct_rows(b, by or ("shard_id" if bounds else None)), q, metric, floor, bounds, allow, extra)
             yield from sliced(hits_of(kept, ids, own_k))
 
         return by_query(rows.mapInArrow(run, HITS))
@@ -215,10 +219,10 @@ def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None,
     right = asked.withColumn("block", place("query_id", blocks)).withColumn("part", every(parts))
 
     def pair(key: tuple, data: pa.Table, t: pa.Table) -> pa.Table:
-        q, ids, own_k, limit, floor = keep(t)
+        q, ids, own_k, limit, floor, extra = keep(t)
         kept = Kept(limit, by)
         if data.num_rows and len(q):
-            scored_into(kept, distinct_rows(one_batch(data), by or ("shard_id" if bounds else None)), q, metric, floor, bounds)
+            scored_into(kept, distinct_rows(one_batch(data), by or ("shard_id" if bounds else None)), q, metric, floor, bounds, allow, extra)
         return pa.Table.from_batches([hits_of(kept, ids, own_k)])
 
     return by_query(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(pair, HITS))
@@ -275,12 +279,12 @@ def once(hits: DataFrame) -> DataFrame:
     return hits.dropDuplicates(["query_id", "global_id"])
 
 
-def per_shard(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, metric: str = "cosine") -> DataFrame:
-    """HITS and rank: the k best of every query in every shard; k null: each query's own.
+def per_shard(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, metric: str = "cosine", allow: Callable | None = None) -> DataFrame:
+    """HITS and rank: the k best of every query in every shard; k null: each query's own. allow: see scored_into().
 
     Here as in all of this module: null or invalid vectors are taken to be filtered out before, a record delivered twice counts once, equal scores go to
     the smaller global_id, queries with fewer hits than k have all of them, empty tables give no rows."""
-    found = ranked(once(candidates(vectors, queries, by="shard_id", metric=metric, k=k)), "query_id", "shard_id")
+    found = ranked(once(candidates(vectors, queries, by="shard_id", metric=metric, k=k, allow=allow)), "query_id", "shard_id")
     return found.where(F.col("rank") <= (F.col("k") if k is None else F.lit(k)))
 
 

@@ -235,32 +235,30 @@ def route_specificity(spark: SparkSession, d: str) -> DataFrame:
     return routing.specific(routing.routes(q, routing.mean_centroids(r)), 0.01)
 
 
-def _near_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def hint_centroid_bypass(spark: SparkSession, d: str) -> DataFrame:
+    """The five best of each shard that reach the floor, or are in the shard whose centroid the hint names: all of a shard are hinted or none."""
     r, q = _rq(spark, d)
-    return search.per_shard(r, q, k=5), q
+    best = routing.routes(q, routing.mean_centroids(r), probes=1).select("query_id", F.col("shard_id").alias("hint"))
+    out = routing.bypass(search.per_shard(r, q, k=5).join(best, "query_id"), 0.9, F.col("shard_id") == F.col("hint"))
+    return out.select("query_id", "global_id", "shard_id", "score", "by_hint")
 
 
-def hint_centroid_bypass(spark: SparkSession, d: str) -> DataFrame:
-    hits, q = _near_hits(spark, d)
-    best = routing.routes(q, routing.mean_centroids(records(spark, d)), probes=1).select("query_id", F.col("shard_id").alias("hint"))
-    out = routing.bypass(hits.join(best, "query_id"), 0.9, F.col("shard_id") == F.col("hint"))
-    return out.select("query_id", "global_id", "shard_id", "score", "by_hint")
+def _hinted(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "global_id", "shard_id", "score", (F.col("score") < 0.9).alias("by_hint"))
 
 
 def hint_signature_bypass(spark: SparkSession, d: str) -> DataFrame:
-    hits, _ = _near_hits(spark, d)
-    hint = collaborative.latest_hints(table(spark, d, "coordinate_request")).select("query_id", fv.words_of_bytes(F.col("hint")).alias("hint"))
-    own = records(spark, d).dropDuplicates(["global_id"]).select("global_id", fv.signature_words(F.col("vector")).alias("own"))
-    out = routing.bypass(hits.join(hint, "query_id", "left").join(own, "global_id"), 0.9, fv.hamming(F.col("own"), F.col("hint")) < 20)
-    return out.select("query_id", "global_id", "shard_id", "score", "by_hint")
+    """The five best of each shard among the records that reach the floor or whose signature is near the query's last hint."""
+    r, q = _rq(spark, d)
+    hint = collaborative.latest_hints(table(spark, d, "coordinate_request")).select("query_id", fv.signs_of_bytes(F.col("hint"), 64).alias("extra"))
+    none = F.array_repeat(F.lit(0.0), 64)
+    asked = q.join(hint, "query_id", "left").withColumn("extra", F.coalesce("extra", none).cast("array<float>"))
+    return _hinted(search.per_shard(r, asked, k=5, allow=routing.bypassing(0.9, routing.signs_apart(20))))
 
 
 def hint_sketch16(spark: SparkSession, d: str) -> DataFrame:
-    hits, q = _near_hits(spark, d)
-    first = lambda df, key, name: df.select(key, F.slice("vector", 1, 16).alias(name))
-    rows = hits.join(first(q, "query_id", "a"), "query_id").join(first(records(spark, d).dropDuplicates(["global_id"]), "global_id", "b"), "global_id")
-    out = routing.bypass(rows, 0.9, fv.euclidean_score(F.col("a"), F.col("b")) >= 0.8)
-    return out.select("query_id", "global_id", "shard_id", "score", "by_hint")
+    """The five best of each shard among the records that reach the floor or whose first 16 components are near the query's."""
+    return _hinted(search.per_shard(*_rq(spark, d), k=5, allow=routing.bypassing(0.9, routing.beginning_near(16, 0.8))))
 
 
 def knn_ivf_kmeans(spark: SparkSession, d: str) -> DataFrame:

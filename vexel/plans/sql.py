@@ -111,12 +111,16 @@ SQL: dict[str, str] = {
     "knn_routed_centroid": CENTROIDS + f"SELECT query_id, global_id, score, {RANK} FROM sharded WHERE (query_id, shard_id) IN (SELECT (query_id, shard_id) FROM routes WHERE turn <= 2) QUALIFY rank <= k",
     "route_specificity": CENTROIDS + "SELECT query_id, coalesce(max(similarity) FILTER (turn = 1) - max(similarity) FILTER (turn = 2) >= 0.01, true) AS specific FROM routes GROUP BY 1",
     "hint_centroid_bypass": CENTROIDS + NEAR5 + """ SELECT query_id, global_id, n.shard_id, score, score < 0.9 AS by_hint FROM near5 n JOIN routes r USING (query_id) WHERE turn = 1 AND (score >= 0.9 OR n.shard_id = r.shard_id)""",
-    "hint_signature_bypass": SHARDED + NEAR5 + """, hints AS (SELECT query_id, hex(arg_max(neighborhood_hint, (received_at, sent_at, neighborhood_hint))) AS hint FROM coordinate_request WHERE query_id IS NOT NULL AND octet_length(neighborhood_hint) > 0 GROUP BY 1),
-        far AS (SELECT n.*, hint, len(list_filter(range(0, 64), lambda i: ((('0x' || substr(hint, ((i // 8) * 2 + 1)::INT, 2))::INT >> (i % 8)::INT) & 1 = 1) <> (v[i + 1] >= 0))) AS distance
-                FROM near5 n LEFT JOIN hints USING (query_id) JOIN recs USING (global_id))
-        SELECT query_id, global_id, shard_id, score, score < 0.9 AS by_hint FROM far WHERE score >= 0.9 OR (hint IS NOT NULL AND distance < 20)""",
-    "hint_sketch16": SHARDED + NEAR5 + """ SELECT query_id, global_id, n.shard_id, score, score < 0.9 AS by_hint FROM near5 n JOIN reqs USING (query_id) JOIN recs USING (global_id)
-        WHERE score >= 0.9 OR round(1 / (1 + pow(list_distance(q[1:16], v[1:16]), 2)), 6) >= 0.8""",
+    # The predicate is applied to all records, and the five best of each shard are taken from what it leaves.
+    "hint_signature_bypass": BASE + """, hints AS (SELECT query_id, hex(arg_max(neighborhood_hint, (received_at, sent_at, neighborhood_hint))) AS hint FROM coordinate_request WHERE query_id IS NOT NULL AND octet_length(neighborhood_hint) > 0 GROUP BY 1),
+        bits AS (SELECT query_id, list_transform(range(0, 64), lambda i: (('0x' || substr(hint, ((i // 8) * 2 + 1)::INT, 2))::INT >> (i % 8)::INT) & 1) AS b FROM hints WHERE length(hint) = 16),
+        signs AS (SELECT global_id, list_transform(v, lambda x: (x >= 0)::INT) AS b FROM recs),
+        far AS (SELECT s.*, list_sum(list_transform(list_zip(h.b, g.b), lambda p: (p[1] <> p[2])::INT)) AS distance FROM scored s LEFT JOIN bits h USING (query_id) JOIN signs g USING (global_id))
+        SELECT query_id, global_id, shard_id, score, score < 0.9 AS by_hint FROM far WHERE score >= 0.9 OR distance < 20
+        QUALIFY row_number() OVER (PARTITION BY query_id, shard_id ORDER BY score DESC, global_id) <= 5""",
+    "hint_sketch16": BASE + """ SELECT query_id, global_id, s.shard_id, score, score < 0.9 AS by_hint FROM scored s JOIN reqs USING (query_id) JOIN recs USING (global_id)
+        WHERE score >= 0.9 OR round(1 / (1 + pow(list_distance(q[1:16], v[1:16]), 2)), 6) >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY query_id, s.shard_id ORDER BY score DESC, global_id) <= 5""",
     "response_hits": f"SELECT DISTINCT query_id, global_id, score::DOUBLE AS score FROM search_response WHERE {HITS}",
     "response_metrics": """SELECT query_id, sum(visited)::BIGINT AS total_visited, count(*) AS shards_finished, max(ms) AS search_time_ms FROM (
         SELECT query_id, global_id, max(nodes_visited) AS visited, max(search_time_ms) AS ms FROM search_response WHERE query_id IS NOT NULL AND global_id > 9223372036854775706 GROUP BY 1, 2) GROUP BY 1""",
