@@ -82,6 +82,18 @@ def test_cells_split_and_visit():
     assert list(zip(row, cell, part)) == [(0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 1, 2), (1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 0, 0)]
 
 
+def test_many_vectors_of_one_direction_tie_by_id(spark, vectors):
+    """A third of all records point one way, with other lengths: the k smallest ids are the hits."""
+    x, df = vectors
+    rng = np.random.default_rng(3)
+    rows = [(int(i), (x[5] * s).tolist(), "x") for i, s in zip(rng.permutation(np.arange(2_000, 2_400)), rng.uniform(0.2, 5, 400))]
+    q = spark.createDataFrame([("a", x[5].tolist(), 12), ("b", (x[5] * 2).tolist(), 300)], "id string, vector array<float>, k int")
+    got = collections.defaultdict(list)
+    for r in sorted(graph.most_similar(df.unionByName(spark.createDataFrame(rows, df.schema)), q, floor=0.95).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["id"])
+    assert got["a"] == [5, *range(2_000, 2_011)] and got["b"] == [5, *range(2_000, 2_299)]
+
+
 def test_sample_is_picked_out_in_the_scan(spark):
     df = spark.range(50_000)
     part = cells.sampled(df, 50_000, 4_000, sample=1_000)

@@ -22,6 +22,8 @@ from .common import cosine, is_valid, mix64, unit, vectors_of
 DEGREE, BEAM, SEEK, ALPHA, OPEN, ENTRIES = 48, 64, 40, 1.2, 4, 256
 #: Queries that walk at once: bounds the tables of seen vectors.
 BLOCK = 512
+#: Hits whose members are scored at once.
+EXPANDED = 500_000
 #: Vectors that a shard should hold; one with more than twice as many is split.
 SHARD = 2_500
 
@@ -180,15 +182,40 @@ def search_shards(key: tuple, data: pa.Table, queries: pa.Table, floor: float |
         return empty
     order = np.argsort(data["id"].to_numpy())
     data = data.take(pa.array(order))
-    raw, raw_q = vectors_of(data["vector"]), vectors_of(queries["vector"])
-    x, q = unit(raw), unit(raw_q)
-    edges, entries = build(x)
-    r, v, _ = search(x, edges, entries, q, queries["k"].to_numpy(), None if floor is None else 2 * floor - 1 - 1e-4)
-    score = np.round((1 + np.minimum(1.0, cosine(raw_q[r], raw[v]))) / 2, 6)
-    if floor is not None:
-        ok = score >= floor
-        r, v, score = r[ok], v[ok], score[ok]
-    return pa.table({"id": queries["id"].take(pa.array(r)).cast(pa.string()), "node": pa.array(data["id"].to_numpy()[v]), "score": pa.array(score)})
+    raw, raw_q, ids = vectors_of(data["vector"]), vectors_of(queries["vector"]), data["id"].to_numpy()
+    x, q, k = unit(raw), unit(raw_q), queries["k"].to_numpy()
+    first, members, begin = directions(x)
+    edges, entries = build(x[first])
+    r, v, _ = search(x[first], edges, entries, q, k, None if floor is None else 2 * floor - 1 - 1e-4)
+    order = np.argsort(r, kind="stable")
+    r, v = r[order], v[order]
+    count = np.diff(begin)[v]
+    total, at = np.cumsum(count), 0
+    out: list[tuple[np.ndarray, ...]] = [(np.array([], np.int64), np.array([], np.int64), np.array([]))]
+    while at < len(r):  # some queries at once: all members of their nodes are scored, and the k best are kept
+        stop = int(np.searchsorted(total, total[at] - count[at] + EXPANDED, "right"))
+        stop = len(r) if stop >= len(r) else max(int(np.searchsorted(r, r[stop], "left")), int(np.searchsorted(r, r[at], "right")))
+        n = count[at:stop]
+        query = np.repeat(r[at:stop], n)
+        row = members[np.repeat(begin[v[at:stop]], n) + np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)]
+        score = np.round((1 + np.minimum(1.0, cosine(raw_q[query], raw[row]))) / 2, 6)
+        if floor is not None:
+            ok = score >= floor
+            query, row, score = query[ok], row[ok], score[ok]
+        best = np.lexsort((ids[row], -score, query))
+        query, row, score = query[best], row[best], score[best]
+        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        out.append(tuple(c[place < k[query]] for c in (query, row, score)))
+        at = stop
+    r, v, score = (np.concatenate(c) for c in zip(*out))
+    return pa.table({"id": queries["id"].take(pa.array(r)).cast(pa.string()), "node": pa.array(ids[v]), "score": pa.array(score)})
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of (nearly) the same direction are one node of the graph: (a row of each node, rows by node, where each node's rows begin)."""
+    key = np.ascontiguousarray(np.rint(x * 4_096).astype(np.int16)).view([("", np.int16)] * x.shape[1]).ravel()
+    _, first, node, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return first, np.argsort(node, kind="stable"), np.concatenate([[0], np.cumsum(count)])
 
 
 def most_similar(records: DataFrame, queries: DataFrame, *, floor: float | None = None, probes: int = 3, default_k: int = 10, target: int = SHARD) -> DataFrame:
@@ -197,8 +224,8 @@ def most_similar(records: DataFrame, queries: DataFrame, *, floor: float | None
     For each query id with a valid vector the k best distinct record ids by (score descending, id ascending), where score
     is (1 + cosine) / 2 in double, rounded to 6; only scores >= floor if one is given. Approximate: a query visits the
     shards of its `probes` nearest cells. k null or < 1 counts as default_k. Null ids and invalid vectors (null, wrong
-    length, not finite, all zero) take no part on either side; a repeated id counts once, equal vectors are one node of
-    the graph and are expanded after the search, so ties are exact. Empty tables give no rows. Further columns are ignored.
+    length, not finite, all zero) take no part on either side; a repeated id counts once. Equal vectors, and within a shard
+    those of one direction, are one node of the graph and are expanded after the search, so their ties are exact. Empty tables give no rows. Further columns are ignored.
     """
     rows = records.where(F.col("id").isNotNull() & is_valid(F.col("vector"))).select("id", "vector")
     asked = queries.where(F.col("id").isNotNull() & is_valid(F.col("vector"))).groupBy("id").agg(F.min_by(F.struct("vector", "k"), F.struct(F.xxhash64("vector"), "k")).alias("x"))
