@@ -8,6 +8,7 @@ import sys
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,3 +376,43 @@ def test_hint_rescues_records_beyond_the_best(spark, data):
     assert all(r["score"] >= 0.99 for r in search.per_shard(vectors, none, k=5, allow=near).collect())
     bits = spark.createDataFrame([(bytearray([5, 128]),), (bytearray([1]),), (None,)], "b binary").select(fv.signs_of_bytes(F.col("b"), 16)).collect()
     assert [r[0] for r in bits] == [[1, -1, 1] + [-1] * 12 + [1], None, None]
+
+
+def test_state_of_an_idle_query_goes():
+    class State:
+        exists, hasTimedOut, removed = False, False, False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.ms = ms
+
+        def remove(self):
+            self.exists, self.removed = False, True
+
+    state, step = State(), live.floor_step(5_000)
+    frame = lambda *v: iter([pd.DataFrame({"min_score": list(v)})])
+    assert [f["floor"].tolist() for f in step(("q",), frame(0.5, 0.7), state)] == [[0.7]] and state.ms == 5_000
+    assert list(step(("q",), frame(0.6), state)) == []
+    state.hasTimedOut = True
+    assert list(step(("q",), iter(()), state)) == [] and state.removed
+    state.hasTimedOut = False
+    assert [f["floor"].tolist() for f in step(("q",), frame(0.1), state)] == [[0.1]]  # a new query
+
+
+def test_source_takes_few_files_at_once(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([(f"q{n}", float(n))], "query_id string, min_score double").coalesce(1).write.mode("append").parquet(str(tmp_path / "updates.parquet"))
+    stream = live.source(spark, str(tmp_path), "updates", files=1)
+    live.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    assert len([d for d in os.listdir(tmp_path / "out") if d.startswith("batch=")]) == 3
+
+
+def test_measured_search(data):
+    vectors, asked, exact = data
+    hits, metrics = api.measured(vectors, asked)
+    assert ids(hits) == exact
+    assert {(r["total_visited"], r["shards_finished"]) for r in metrics.collect()} == {(N, 8)} and metrics.first()["elapsed_ms"] > 0
+    with pytest.raises(ValueError):
+        api.measured(vectors, asked, "none")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import collaborative, compare, documents, routing, search
 from ..sources import collection
+from ..sources.saved import saved
 
 MODES: dict[str, Callable[..., DataFrame]] = {
     "exact": search.top,
@@ -116,6 +118,19 @@ def visited(vectors: DataFrame, queries: DataFrame, mode: str, **options: object
     return search.metrics(search.visits(vectors, queries)).select("query_id", F.col("total_visited").alias("visited"))
 
 
+def measured(vectors: DataFrame, queries: DataFrame, mode: str = "exact", **options: object) -> tuple[DataFrame, DataFrame]:
+    """(hits, metrics): the hits of a search, done and saved, and (query_id, total_visited, shards_finished, elapsed_ms).
+
+    elapsed_ms is the wall time of the whole batch of queries, without embedding. Shards without a record are not finished ones."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    began = time.monotonic()
+    hits = saved(MODES[mode](vectors, queries, **options))
+    took = int((time.monotonic() - began) * 1000)
+    shards = search.metrics(search.visits(vectors, queries)).select("query_id", "shards_finished")
+    return hits, visited(vectors, queries, mode, **options).withColumnRenamed("visited", "total_visited").join(shards, "query_id").withColumn("elapsed_ms", F.lit(took).cast("bigint"))
+
+
 def compared(vectors: DataFrame, queries: DataFrame, one: str = "exact", two: str = "collaborative", *, default_k: int = 100, **options: object) -> DataFrame:
     """(query_id, jaccard, recall, visited, visited_other, reduction) of mode `two`, with options, against mode `one`, for every query.
 

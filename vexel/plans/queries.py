@@ -363,6 +363,12 @@ def compare_collaborative(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.round("jaccard", 6).alias("jaccard"), F.round("recall", 6).alias("recall"))
 
 
+def search_measured(spark: SparkSession, d: str) -> DataFrame:
+    """What a search with a budget scored and how many shards answered; its wall time is there, though not the same in each run."""
+    m = api.measured(*_rq(spark, d), "budgeted", visits=20)[1]
+    return m.select("query_id", "total_visited", "shards_finished", (F.col("elapsed_ms") > 0).alias("timed"))
+
+
 def shard_build_open(spark: SparkSession, d: str) -> DataFrame:
     """A collection of the embeddings, built in folders by shard from files, and one shard of it read back."""
     files, built = scratch(spark, "vectors"), scratch(spark, "collection")
@@ -428,7 +434,7 @@ node_status knn_distinct_docs knn_satisfied_antijoin knn_max_chunks_per_doc knn_
 knn_adaptive_budget knn_early_stop knn_routed_centroid route_specificity hint_centroid_bypass hint_signature_bypass
 hint_sketch16 knn_ivf_kmeans response_hits response_metrics response_merge response_running_best json_hits text_prefix
 parse_embeddings_json normalized_vectors text_search stream_query_topk stream_floor_max stream_floor_state stream_coordinate
-compare_modes compare_collaborative shard_build_open cluster_config_nodes flag_values request_defaults query_ids_made
+compare_modes compare_collaborative search_measured shard_build_open cluster_config_nodes flag_values request_defaults query_ids_made
 metadata_equal embedding_checked windowed_hits
 """.split()
 QUERIES = {name: globals()[name] for name in NAMES}

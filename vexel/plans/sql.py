@@ -144,6 +144,8 @@ SQL: dict[str, str] = {
             any_value(visited) AS visited, any_value(other) AS visited_other, round(1 - any_value(other) / any_value(visited), 6) AS reduction
         FROM top t FULL JOIN few f USING (query_id, global_id), sizes GROUP BY 1""",
     "compare_collaborative": BASE + "SELECT query_id, 1.0::DOUBLE AS jaccard, 1.0::DOUBLE AS recall FROM reqs",
+    "search_measured": BASE + """, sizes AS (SELECT sum(least(n, 20))::BIGINT AS total_visited, count(*) AS shards_finished FROM (SELECT count(*) AS n FROM recs GROUP BY shard_id))
+        SELECT query_id, total_visited, shards_finished, true AS timed FROM reqs, sizes""",
     "shard_build_open": """SELECT vec_id, 3 AS shard_id, (vec_id // 8)::INT AS local_doc, (3::BIGINT << 32) | (vec_id // 8) AS global_id,
         round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings WHERE vec_id % 8 = 3""",
     "cluster_config_nodes": "SELECT node_host AS host, ip, shard_id AS shard, node_role AS role, mem, '10.0.0.1' AS seed_ip, 4900 AS seed_port FROM shard_metadata",

@@ -116,8 +116,8 @@ def coordinate_answers(updates: DataFrame, idle_ms: int = 3_600_000) -> DataFram
     return good.groupBy("query_id").applyInPandasWithState(step, "query_id string, floor double, hint binary", "floor double, hint binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def floor_state(updates: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """updates(query_id, min_score) -> (query_id, floor): a row whenever a batch raises a query's floor; state goes after idle_ms without updates."""
+def floor_step(idle_ms: int) -> Callable:
+    """The state function of floor_state: the highest floor of a query so far, dropped after idle_ms without updates."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -130,8 +130,13 @@ def floor_state(updates: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         if now > before:
             yield pd.DataFrame({"query_id": [key[0]], "floor": [now]})
 
+    return step
+
+
+def floor_state(updates: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+    """updates(query_id, min_score) -> (query_id, floor): a row whenever a batch raises a query's floor; state goes after idle_ms without updates."""
     good = updates.where(F.col("query_id").isNotNull() & fv.is_finite(F.col("min_score"))).select("query_id", F.col("min_score").cast("double").alias("min_score"))
-    return good.groupBy("query_id").applyInPandasWithState(step, "query_id string, floor double", "floor double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return good.groupBy("query_id").applyInPandasWithState(floor_step(idle_ms), "query_id string, floor double", "floor double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def floor_maximum(updates: DataFrame) -> DataFrame:
