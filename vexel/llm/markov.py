@@ -175,7 +175,7 @@ def start(edges: DataFrame, own: DataFrame, near: DataFrame) -> DataFrame:
     return plain.unionByName(loops).unionByName(between).unionByName(stay).withColumnRenamed("w", "value")
 
 
-def flow(matrix: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, rounds: int = 40, settled: float = 1e-3) -> DataFrame:
+def flow(matrix: DataFrame, *, inflation: float = 2.0, prune: float = 0.02, rounds: int = 100, settled: float = 1e-3) -> DataFrame:
     """(col, row, value) -> the flow matrix after Markov clustering: (col, row, value), the values of a column adding up to 1.
 
     Ends when every column is within `settled` of even flow between its attractors (largest entry minus sum of squares).
@@ -231,7 +231,7 @@ def attracted(matrix: DataFrame) -> DataFrame:
     return first.join(again, "row", "left").select(F.col("col").alias("id"), F.coalesce("cluster", "row").alias("cluster"))
 
 
-def clusters(vectors: DataFrame, *, floor: float, inflation: float = 2.0, typical: int = 3, probes: int = 2, far: int = 16, rounds: int = 40) -> DataFrame:
+def clusters(vectors: DataFrame, *, floor: float, inflation: float = 2.0, typical: int = 3, probes: int = 2, far: int = 16, rounds: int = 100) -> DataFrame:
     """vectors(id bigint, vector) -> (cluster_id bigint, id bigint, size bigint, inflow double, typical boolean, whole boolean).
 
     One row for each valid vector; null ids and invalid vectors have none, repeated ids have one. cluster_id is the
