@@ -686,6 +686,15 @@ def test_spans_come_from_chains(spark):
     assert len(kept) == 1 and kept[0]["seeds"] == 10 and [tuple(d) for d in kept[0]["diagonals"]] == [(0, 87, 0)]
 
 
+def test_window_that_many_texts_have_in_other_surroundings(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    window = text(30)
+    docs = [(d, text(rng.randint(5, 40)) + window + text(rng.randint(5, 40))) for d in range(60)]
+    df = spark.createDataFrame(docs, "id bigint, text string")
+    assert {(r["id"], r["start"], r["end"]) for r in spans.shared_spans(df, span=30).collect()} == brute_spans(docs, 30)
+
+
 def test_passage_over_edits(spark):
     """One character in every 60 differs: no 300 characters agree, but the passage is found as one."""
     rng = random.Random(10)
