@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,24 @@ def cut(df: DataFrame) -> DataFrame:
     return saved(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files behind results that were cut and whose plans are no longer held.
+
+    It does so once the driver's garbage is collected, which may be long after the disks of the executors are full. Plans
+    that Python has let go reach the JVM a little later, so a thread waits for that while the work goes on."""
+    gc.collect()
+
+    def collect() -> None:
+        for _ in range(2):
+            time.sleep(1.2)
+            try:
+                spark.sparkContext._jvm.System.gc()
+            except Exception:  # noqa: BLE001
+                return  # the session has ended
+
+    threading.Thread(target=collect, daemon=True).start()
+
+
 # ---- texts
 
 
