@@ -705,3 +705,74 @@ def test_passage_over_edits(spark):
     assert spans.shared_spans(df).count() == 0
     got = [r for r in spans.passages(df).collect() if r["id"] == 1]
     assert max(r["end"] - r["start"] for r in got) >= 1100 and max(r["identity"] for r in got) > 0.95
+
+
+def test_passages_of_all_texts_and_places(spark, monkeypatch):
+    """A passage is reported for each two texts and for each place, whichever text has its seeds first; places of a seed meet in a grid."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    one, two = text(400), text(400)
+    docs = [(0, one + text(50)), (1, text(60) + two), (2, text(20) + one + two + text(30)), (3, one + two), (4, text(70) + one + text(500) + one)]
+    docs += [(5, text(10) + one[:200] + "#" + one[201:]), (5, two + text(80)), (6, text(600)), (7, None), (None, one)]
+    df = spark.createDataFrame(docs + docs[:2], "id bigint, text string")
+    for places in (2, 1000):
+        monkeypatch.setattr(spans, "PLACES", places)
+        got = [tuple(r) for r in spans.passages(df).collect()]
+        place = {(a, b, s, e, os, oe) for a, b, s, e, os, oe, *_ in got}
+        assert len(place) == len(got) and place == {(b, a, os, oe, s, e) for a, b, s, e, os, oe in place}
+        size = collections.Counter((a, b) for a, b, s, e, *_ in got if e - s >= 390)
+        ones, twos = {0, 2, 3, 4, 5}, {1, 2, 3, 5}
+        assert set(size) == {(a, b) for has in (ones, twos) for a in has for b in has if a != b}
+        assert size[0, 4] == size[4, 2] == 2 and [(s, e) for a, b, s, e, *_ in got if (a, b) == (2, 3)] == [(20, 820)]
+
+
+def test_passages_hold_what_two_texts_share(spark):
+    """What two texts share as it is lies in one of their passages, in texts that repeat themselves, too, and where no more than a span agrees."""
+    rng = random.Random(13)
+    text = lambda n, of="abcdefgh": "".join(rng.choice(of) for _ in range(n))
+    common = [text(n) for n in (30, 30, 31, 33, 40, 90)]
+    docs = [(d, "".join(text(rng.randint(0, 30)) + rng.choice(common) for _ in range(rng.randint(1, 4))) + text(rng.randint(0, 20))) for d in range(30)]
+    docs += [(100, "ab" * 40), (101, text(9) + "ab" * 30), (102, "a" * 50), (103, "a" * 40 + text(20))]
+    for span in (30, 10):
+        got = collections.defaultdict(list)
+        for r in spans.passages(spark.createDataFrame(docs, "id bigint, text string"), span=span).collect():
+            got[r["id"], r["other"]].append((r["start"], r["end"]))
+        pairs = [(a, b) for a in docs for b in docs if a[0] < b[0]]
+        if span == 10:
+            pairs = pairs[::5]
+        for a, b in pairs:
+            for windows, i, j in ((a[1], a[0], b[0]), (b[1], b[0], a[0])):
+                rest = b[1] if i == a[0] else a[1]
+                for p in range(len(windows) - span + 1):
+                    if windows[p : p + span] in rest:
+                        assert any(s <= p and p + span <= e for s, e in got[i, j])
+
+
+def test_passage_aside_of_better_matches(spark):
+    """A match off the diagonal that scores a little more doesn't hide the passage."""
+    x, y = np.array([554, 590, 590, 690, 690, 728]), np.array([808, 784, 944, 784, 944, 982])
+    assert [0, 4, 5] in [at.tolist() for at, _, _ in spans.candidates(x, y, 30, 160)]
+    root, score = spans.paths(np.array([0, 40, 40]), np.array([0, 40, 200]), 30)
+    assert root.tolist() == [0, 0, 2] and score[2] == 30
+
+
+def test_common_subsequence():
+    rng = random.Random(14)
+
+    def brute(a, b):
+        last = [0] * (len(b) + 1)
+        for c in a:
+            now = [0]
+            for j, d in enumerate(b):
+                now.append(max(now[-1], last[j + 1], last[j] + (c == d)))
+            last = now
+        return last[-1]
+
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 40))) for _ in "ab")
+        assert spans.common(a, b) == brute(a, b)
+    text = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    a, b, c = text(200, "abcd"), text(300, "efgh"), text(300, "ijkl")  # what is added and left out is more than any band holds
+    assert spans.common("x" + b + a + "y", "x" + a + c + "y") == 202
+    a, b = text(150, "abcd") + text(300, "efgh"), text(200, "abcd") + text(250, "efgh")
+    assert spans.common(a, b) == brute(a, b)

@@ -8,8 +8,10 @@ Each run gets a partner text: the first (for that one the last) of the texts wit
 first and last of those that have one of its windows, looked up by hash. Partners are proposals of two seeds each, linear in
 the runs however common a run is. The matches of two texts are chained in order under a gap cost with a Fenwick tree; a chain
 has to score more than a lone seed can. Chains are aligned: both texts are laid side by side along each diagonal of a chain
-and as far beyond its seeds as a window reaches. What is equal there for at least `span` characters is shared (exact spans);
-passages align the gaps, too. No pairs of texts are made but those of a run and its partner."""
+and as far beyond its seeds as a window reaches. What is equal there for at least `span` characters is shared (exact spans).
+No pairs of texts are made but those of a run and its partner.
+
+Passages name both texts, so there each place of a seed meets all places of it in other texts, and the gaps are aligned, too."""
 
 from __future__ import annotations
 
@@ -26,8 +28,10 @@ from .common import by_group, cut, mix64, release
 #: Length of a seed as a share of the span, and the least score of a chain in seeds: the two seeds of a window, at most four
 #: seeds apart, score 1.7, a lone one scores 1.
 KMER_SHARE, LEAST = 1 / 5, 1.5
-#: The same for fuzzy passages, whose seeds have to fit between edits (but not under 8 characters); a chain has to reach over this share of the span.
-FUZZY_SHARE, FUZZY_REACH = 1 / 10, 2 / 3
+#: The same for fuzzy passages, whose seeds have to fit between edits (but not under 8 characters).
+FUZZY_SHARE = 1 / 10
+#: Places of one seed that meet each other in one task; those of more common seeds meet in a grid.
+PLACES = 1_000
 #: Characters that are hashed at once.
 BLOCK = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -211,16 +215,17 @@ def run_matches(texts: DataFrame, found: DataFrame, span: int) -> DataFrame:
 
 
 def seed_matches(found: DataFrame) -> DataFrame:
-    """(id, pos, seed) -> (id, other, pos, other_pos): each occurrence of a common seed with the first text that has it, for that one with the last."""
-    place = F.struct("id", "pos")
-    found = common_seeds(found)
-    ends = found.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    other = F.when(F.col("id") == F.col("first.id"), F.col("last")).otherwise(F.col("first"))
-    return found.join(ends, "seed").select("id", other["id"].alias("other"), "pos", other["pos"].alias("other_pos"))
+    """(id, pos, seed) -> (id, other, pos, other_pos): all places of a seed in two different texts, once for each two texts (id < other)."""
+    often = found.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
+    found = found.join(often.select("seed", F.ceil(F.col("n") / PLACES).alias("parts")), "seed").withColumn("own", F.pmod(F.xxhash64("id", "pos"), "parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    one = found.select("seed", "id", "pos", F.col("own").alias("row"), every.alias("column"))
+    two = found.select("seed", F.col("id").alias("other"), F.col("pos").alias("other_pos"), every.alias("row"), F.col("own").alias("column"))
+    return one.join(two, ["seed", "row", "column"]).where(F.col("id") < F.col("other")).select("id", "other", "pos", "other_pos")
 
 
-def chain(x: np.ndarray, y: np.ndarray, k: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
-    """For matches sorted by (x, y): (root, score) of the best chain that ends in each.
+def links(x: np.ndarray, y: np.ndarray, k: int, gap: float = GAP) -> tuple[list[int], list[float]]:
+    """For matches sorted by (x, y): (the match before it or -1, score) of the best chain that ends in each.
 
     A chain is ordered in x and y. Its score is what its k-mers cover less `gap` for each character skipped in either text.
     A predecessor either ends before both sides of the match, so that the best one has the largest score + gap * (x + y), a
@@ -230,7 +235,7 @@ def chain(x: np.ndarray, y: np.ndarray, k: int, gap: float = GAP) -> tuple[np.nd
     places = sorted(set(ys))
     rank = {v: i + 1 for i, v in enumerate(places)}
     tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(rank) + 1)
-    root, score = list(range(n)), [float(k)] * n
+    previous, score = [-1] * n, [float(k)] * n
     line: dict[int, int] = {}
     ready = 0
     for i in range(n):
@@ -255,11 +260,36 @@ def chain(x: np.ndarray, y: np.ndarray, k: int, gap: float = GAP) -> tuple[np.nd
             if along >= after:
                 after, j = along, before
         if j >= 0 and after > k:
-            root[i], score[i] = root[j], after
+            previous[i], score[i] = j, after
         line[xi - yi] = i
+    return previous, score
+
+
+def chain(x: np.ndarray, y: np.ndarray, k: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """For matches sorted by (x, y): (root, score) of the best chain that ends in each."""
+    previous, score = links(x, y, k, gap)
+    root = list(range(len(previous)))
+    for i, j in enumerate(previous):
+        if j >= 0:
+            root[i] = root[j]
     return np.array(root), np.array(score)
 
 
+def paths(x: np.ndarray, y: np.ndarray, k: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """As chain, but where chains part (a passage that a text has twice) the best keeps what they share and each other one starts anew."""
+    previous, score = links(x, y, k, gap)
+    root, own = [-1] * len(previous), list(score)
+    inner = set(previous)
+    for end in sorted((i for i in range(len(previous)) if i not in inner), key=lambda i: -score[i]):
+        path = []
+        while end >= 0 and root[end] < 0:
+            path.append(end)
+            end = previous[end]
+        for i in path:
+            root[i], own[i] = path[-1], score[i] - score[path[-1]] + k
+    return np.array(root), np.array(own)
+
+
 def chains(found: DataFrame, k: int, *, least: float = LEAST, gap: float = GAP, link: Callable = chain) -> DataFrame:
     """(id, other, pos, other_pos) -> CHAINS: the collinear chains of each text with its partners that score `least` seeds or more.
 
@@ -367,54 +397,145 @@ def extend(a: str, b: str, most: int) -> int:
     return low
 
 
-def common(a: str, b: str, band: int = 64) -> int:
-    """Longest common subsequence of two stretches of characters within a band about the diagonal."""
-    if a == b:
-        return len(a)
-    if not a or not b:
-        return 0
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two stretches of characters.
+
+    One bit for each character of a; a row of the table is the bits at which it grows, the next one comes of an addition."""
     head = extend(a, b, len(a))
     a, b = a[head:], b[head:]
-    x, y = np.array([ord(c) for c in a], np.int64), np.array([ord(c) for c in b], np.int64)
-    band = max(band, abs(len(x) - len(y)) + 8)
-    wide = np.full(len(y) + len(x) + 4 * band, -1, np.int64)
-    wide[band : band + len(y)] = y
-    last = np.zeros(2 * band + 2, np.int64)
-    for i in range(len(x)):
-        now = np.zeros_like(last)
-        now[:-1] = np.maximum.accumulate(np.maximum(last[:-1] + (wide[i : i + 2 * band + 1] == x[i]), last[1:]))
-        last = now
-    return head + int(last.max())
+    tail = extend(a[::-1], b[::-1], len(a))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        same = row & places.get(c, 0)
+        row = (row + same | row - same) & whole
+    return head + tail + len(a) - row.bit_count()
+
+
+def groups(values: np.ndarray) -> list[np.ndarray]:
+    """The places of each value, in order."""
+    order = np.argsort(values, kind="stable")
+    return np.split(order, np.nonzero(np.diff(values[order]))[0] + 1)
+
+
+def candidates(x: np.ndarray, y: np.ndarray, k: int, reach: int) -> Iterator[tuple[np.ndarray, float, bool]]:
+    """(matches, score, extra) of the paths of two texts, and of each diagonal for itself if it isn't just one path; these are extra.
+
+    A path takes the better match before it, even one that is off the diagonal by chance: the passage may get lost with that.
+    Those that reach over less than `reach` count if further matches are on the diagonal of an end."""
+    root, score = paths(x, y, k)
+    size = np.bincount(root)
+    least = min(LEAST * k, reach)
+    low, high = x.copy(), x.copy()
+    lines = groups(x - y)
+    for on in lines:
+        low[on], high[on] = x[on[0]], x[on[-1]]
+
+    def taken(at: np.ndarray, value: np.ndarray) -> bool:
+        first, last = at[0], at[-1]
+        wide = min(x[last] - x[first], y[last] - y[first]) + k >= reach
+        return value.max() >= least and (wide or low[first] < x[first] or high[last] > x[last])
+
+    for at in groups(root):
+        if taken(at, score[at]):
+            yield at, score[at].max(), False
+    for on in lines:
+        if (root[on] != root[on[0]]).any() or size[root[on[0]]] > len(on):
+            own, value = paths(x[on], y[on], k)
+            for at in groups(own):
+                if taken(on[at], value[at]):
+                    yield on[at], value[at].max(), True
+
+
+CANDIDATES = "start int, end int, other_start int, other_end int, seeds int, score double, extra boolean"
+
+
+def passage_chains(found: DataFrame, span: int, window: int, k: int) -> DataFrame:
+    """Matches of seeds, one in each `window` characters -> (id, other, chains array<CANDIDATES>): the chains of two texts that may be passages.
+
+    Beyond the outermost match of a diagonal no more than window - k characters agree, else they held a further one. So two
+    texts whose matches reach over less than span - 2 * (window - k) characters have no passage; nor has such a chain that no
+    other match continues."""
+    reach = span - 2 * (window - k)
+    kinds = [pa.int32()] * 5 + [pa.float64(), pa.bool_()]
+    chain_type = pa.struct([(c.split()[0], kind) for c, kind in zip(CANDIDATES.split(", "), kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "pair"):
+            i, j, x, y = (t[n].to_numpy() for n in ("id", "other", "pos", "other_pos"))
+            edge = np.nonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[0]
+            ends = np.append(edge[1:], len(i))
+            wide = lambda v: np.maximum.reduceat(v, edge) + k - np.minimum.reduceat(v, edge) >= reach
+            some = np.nonzero(wide(x) & wide(y))[0]
+            at: list[int] = []
+            sizes: list[int] = []
+            out: list[tuple] = []
+            for a, b in zip(edge[some].tolist(), ends[some].tolist()):
+                xs, ys = x[a:b], y[a:b]
+                own = [(xs[m[0]], xs[m[-1]] + k, ys[m[0]], ys[m[-1]] + k, len(m), score, extra) for m, score, extra in candidates(xs, ys, k, reach)]
+                if own:
+                    at.append(a)
+                    sizes.append(len(own))
+                    out += own
+            if out:
+                flat = pa.StructArray.from_arrays([pa.array(np.array(c), kind) for c, kind in zip(zip(*out), kinds)], fields=list(chain_type))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(j[at]), lists], names=["id", "other", "chains"])
 
+    by_pair = found.repartition("id", "other").withColumn("pair", F.xxhash64("id", "other")).sortWithinPartitions("pair", "id", "other", "pos", "other_pos")
+    return by_pair.mapInArrow(run, f"id bigint, other bigint, chains array<struct<{CANDIDATES.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def extended(s: str, t: str, chains: list[dict], span: int) -> list[dict]:
+    """The chains with what is equal before and after them, if that makes `span` characters; extra ones that others hold are left out."""
+    out: list[dict] = []
+    for r in sorted(chains, key=lambda r: r["extra"]):
+        back = extend(s[: r["start"]][::-1], t[: r["other_start"]][::-1], len(s))
+        ahead = extend(s[r["end"] :], t[r["other_end"] :], len(s))
+        r = r | {"start": r["start"] - back, "other_start": r["other_start"] - back, "end": r["end"] + ahead, "other_end": r["other_end"] + ahead}
+        if min(r["end"] - r["start"], r["other_end"] - r["other_start"]) < span:
+            continue
+        if r["extra"] and any(o["start"] <= r["start"] and r["end"] <= o["end"] and o["other_start"] <= r["other_start"] and r["other_end"] <= o["other_end"] for o in out):
+            continue
+        out.append(r)
+    return out
 
-def passages(texts: DataFrame, *, span: int = 300) -> DataFrame:
-    """texts(id bigint, text string) -> PASSAGES: the chains of shared seeds, extended as far as both texts agree.
 
-    A chain that spans at least `span` characters in both texts is one passage; its seeds are short, so it goes on over edits
-    that leave a seed between them; its ends are extended by what is equal before and after, and the gaps between its seeds are aligned: identity is the share of characters in common order over
-    the longer side. Each text is chained with one partner for each seed (the first text that has it), so a passage in many
-    texts is reported once for each text, not for each pair. Nulls, short texts and empty tables as in shared_spans."""
-    good = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull()).groupBy("id").agg(F.first("text").alias("text"))
+def passages(texts: DataFrame, *, span: int = 300) -> DataFrame:
+    """texts(id bigint, text string) -> PASSAGES: the chains of seeds that two texts share, extended as far as both agree.
+
+    A chain that, with what is equal before and after it, spans at least `span` characters in both texts is one passage; its seeds
+    are short, so it goes on over edits that leave a seed between them. identity is the share of characters in common order
+    over the longer side. All places of a seed are matched with all others, so a passage is reported for each two texts that
+    have it, once from either side, and for each place where a text has it: m * (m - 1) rows where m texts have it once. Nulls,
+    short texts, several texts of one id and empty tables as in shared_spans. `span` characters that two texts share as they are
+    always lie in one of their passages; with edits, seeds have to be left between them."""
+    if span < 10:
+        raise ValueError("span must be 10 at least")
+    # A text is known by its own key: an id may have several.
+    good = texts.where(F.col("id").isNotNull() & (F.length("text") >= span)).select("id", "text").distinct().withColumn("key", F.xxhash64("id", "text"))
     k = max(8, int(span * FUZZY_SHARE))
-    found = chains(seed_matches(seeds(good, max(k, span // 3), k, span)), k).where((F.col("end") - F.col("start") >= span * FUZZY_REACH)).drop("diagonals")
-    full = found.join(good, "id").join(good.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
+    window = max(k, span // 3)
+    found = passage_chains(seed_matches(seeds(good.select(F.col("key").alias("id"), "text"), window, k, span)), span, window, k)
+    found = found.withColumnsRenamed({"id": "key", "other": "other_key"})
+    full = found.join(good, "key").join(good.select(F.col("key").alias("other_key"), F.col("id").alias("other"), F.col("text").alias("other_text")), "other_key").where(F.col("id") != F.col("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PASSAGES.split(", ")]
+        swapped = {"id": "other", "other": "id", "start": "other_start", "end": "other_end", "other_start": "start", "other_end": "end"}
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.float64()]
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                s, t = r["text"], r["other_text"]
-                back = extend(s[: r["start"]][::-1], t[: r["other_start"]][::-1], len(s))
-                ahead = extend(s[r["end"] :], t[r["other_end"] :], len(s))
-                r["start"], r["other_start"] = r["start"] - back, r["other_start"] - back
-                r["end"], r["other_end"] = r["end"] + ahead, r["other_end"] + ahead
-                if min(r["end"] - r["start"], r["other_end"] - r["other_start"]) < span:
-                    continue
-                x, y = s[r["start"] : r["end"]], t[r["other_start"] : r["other_end"]]
-                r["identity"] = common(x, y) / max(len(x), len(y))
-                out.append({n: r[n] for n in names})
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.float64()]
+            for row in b.to_pylist():
+                s, t = row["text"], row["other_text"]
+                for r in extended(s, t, row["chains"], span):
+                    x, y = s[r["start"] : r["end"]], t[r["other_start"] : r["other_end"]]
+                    r |= {"id": row["id"], "other": row["other"], "identity": common(x, y) / max(len(x), len(y))}
+                    out += [{n: r[n] for n in names}, {n: r[swapped.get(n, n)] for n in names}]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(names, kinds))))
 
-    return full.select("id", "other", "start", "end", "other_start", "other_end", "seeds", "score", "text", "other_text").mapInArrow(run, PASSAGES)
+    return full.select("id", "other", "chains", "text", "other_text").mapInArrow(run, PASSAGES)
