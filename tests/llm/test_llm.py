@@ -776,3 +776,28 @@ def test_common_subsequence():
     assert spans.common("x" + b + a + "y", "x" + a + c + "y") == 202
     a, b = text(150, "abcd") + text(300, "efgh"), text(200, "abcd") + text(250, "efgh")
     assert spans.common(a, b) == brute(a, b)
+
+
+def test_group_in_many_cells_is_found(spark):
+    """A dense group that is parted among dozens of cells, as groups are where there are many rows: a query finds its best in cells beyond the nearest."""
+    rng = np.random.default_rng(11)
+    g = unit(rng.standard_normal((1, 64)))
+    near = lambda n: unit(g + 0.03 * rng.standard_normal((n, 64)))
+    x = np.concatenate([near(3_000), unit(rng.standard_normal((3_000, 64)))])
+    y = near(60)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>")
+    q = spark.createDataFrame([(str(i), v.tolist(), 10) for i, v in enumerate(y)], "id string, vector array<float>, k int")
+    s = np.round((1 + y.astype(float) @ x.astype(float).T) / 2, 6)
+    true = {(str(i), int(j)) for i in range(60) for j in np.lexsort((np.arange(len(x)), -s[i]))[:10] if s[i, j] >= 0.95}
+    got = {(r["query_id"], r["id"]) for r in graph.most_similar(df, q, floor=0.95, target=100).collect()}
+    assert len(true) > 500 and len(true & got) >= 0.99 * len(true) and len(got - true) <= 0.01 * len(true)
+
+
+def test_scan_of_a_shard_keeps_the_best():
+    rng = np.random.default_rng(12)
+    x, q, k = unit(rng.standard_normal((300, 64))), unit(rng.standard_normal((20, 64))), np.arange(1, 21)
+    for floor in (None, 0.1):
+        r, c = graph.scored(x, q, k, floor)
+        for i, s in enumerate(q @ x.T):
+            best = [j for j in np.argsort(-s)[: k[i]] if floor is None or s[j] >= floor]
+            assert set(best) <= set(c[r == i])

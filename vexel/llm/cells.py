@@ -1,7 +1,8 @@
 """Routing of vectors to cells: neighbours meet in one task without comparing everything with everything.
 
 Centroids are fitted on a bounded sample; every row is assigned. A data row lives in the cell of its nearest centroid, a
-query visits its `probes` nearest cells. A cell that would hold more than `cap` rows is split into parts by a hash of the
+query visits its `probes` nearest cells, and with a margin further ones that are nearly as near: more cells than a few may
+share a dense group, and the more of them the more rows the collection has. A cell that would hold more than `cap` rows is split into parts by a hash of the
 id; a query visits all parts, so a dense cell loses nothing and no task gets more than about `cap` data rows."""
 
 from __future__ import annotations
@@ -49,6 +50,19 @@ class Cells:
         top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1, kind="stable"), axis=1)
 
+    def near_within(self, x: np.ndarray, probes: int, margin: float, most: int) -> np.ndarray:
+        """[rows, most at most] nearest cells, nearest first: the first `probes` and further ones whose similarity is within `margin` of the best; -1 for others."""
+        near = self.near(x, max(most, probes))
+        v = unit(unit(x) - self.mean)
+        step = max(1, BLOCK // max(1, near.shape[1] * v.shape[1]))
+        for at in range(0, len(x) if near.shape[1] > probes else 0, step):
+            own = near[at : at + step]
+            sims = np.einsum("ij,ikj->ik", v[at : at + step], self.centroids[own])
+            far = sims < sims[:, :1] - margin
+            far[:, :probes] = False
+            own[far] = -1
+        return near
+
 
 def lloyd(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """n centroids of the unit vectors x by spherical k-means from n of them."""
@@ -97,8 +111,8 @@ def fit(vectors: DataFrame, rows: int, *, target: int = TARGET, cap: int = CAP,
 
 
 def expand(near: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For [rows, probes] cells: (row, cell, part) for every part of every visited cell."""
-    n = parts[near].ravel()
+    """For [rows, probes] cells, -1 for none: (row, cell, part) for every part of every visited cell."""
+    n = np.where(near >= 0, parts[near], 0).ravel()
     row = np.repeat(np.repeat(np.arange(len(near)), near.shape[1]), n)
     cell = np.repeat(near.ravel(), n)
     return row, cell, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -140,9 +154,10 @@ def places(vectors: DataFrame, cells: Cells, probes: int) -> DataFrame:
     return vectors.select("id", "vector").mapInArrow(place, "id bigint, visits array<int>")
 
 
-def visit(queries: DataFrame, cells: Cells, probes: int, extra: str = "", spread: bool = False) -> DataFrame:
+def visit(queries: DataFrame, cells: Cells, probes: int, extra: str = "", spread: bool = False, margin: float | None = None, most: int = 0) -> DataFrame:
     """queries(id, vector, ...) -> (cell, part, other, id, vector binary, ...): a row for each part of the `probes` nearest cells.
 
+    margin: of further cells, too, up to `most` in all, as near_within() finds them; column other is 1 for these (not with spread).
     spread: queries are split into as many parts as the cell (column other), to go with home(spread=True). With 0 probes a
     query visits the one cell named in its column `at`."""
     names = [x.split()[0] for x in extra.split(",") if x.strip()]
@@ -153,8 +168,13 @@ def visit(queries: DataFrame, cells: Cells, probes: int, extra: str = "", spread
             if not b.num_rows:
                 continue
             x = vectors_of(b.column("vector"))
-            row, cell, part = expand(cells.near(x, probes) if probes else b.column("at").to_numpy()[:, None], cells.parts)
-            other = (mix64(b.column("id").to_numpy(), 1)[row] % cells.parts[cell].astype(np.uint64)).astype(np.int64) if spread else np.zeros(len(row), np.int64)
+            near = cells.near_within(x, probes, margin, most) if margin is not None else cells.near(x, probes) if probes else b.column("at").to_numpy()[:, None]
+            row, cell, part = expand(near, cells.parts)
+            if spread:
+                other = (mix64(b.column("id").to_numpy(), 1)[row] % cells.parts[cell].astype(np.uint64)).astype(np.int64)
+            else:
+                turn = np.repeat(np.tile(np.arange(near.shape[1]), len(near)), np.where(near >= 0, cells.parts[near], 0).ravel())
+                other = ((turn >= probes) & (margin is not None)).astype(np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(other, pa.int32()), b.column("id").take(take), binary_of(x[row]), *[b.column(n).take(take) for n in names]], names=["cell", "part", "other", "id", "vector", *names])
 

@@ -4,7 +4,8 @@ A shard is a part of a cell (see cells.py). Its graph is built by inserting vect
 search over the graph so far proposes neighbours, relaxed distance pruning keeps at most `degree` of them in differing
 directions, reverse edges are added and overfull lists pruned again. A query walks the graph of each shard it is routed
 to with a beam of the `beam` best vectors seen, opening a few of them at a time, until all are opened. All steps run on
-arrays over many queries at once. Distances are 1 - cosine."""
+arrays over many queries at once. Distances are 1 - cosine. Shards of further cells that are nearly as near to a query are
+scored as a whole for it, which costs a fraction of a walk as they are small."""
 
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ BLOCK = 512
 EXPANDED = 500_000
 #: Vectors that a shard should hold; one with more than twice as many is split.
 SHARD = 2_500
+#: A query visits cells whose similarity is so much under the best one's, too, and no more cells than this in all.
+MARGIN, MOST = 0.07, 32
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, beam: int, entries: np.ndarray, width: int = OPEN) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +188,18 @@ def search_shards(key: tuple, data: pa.Table, queries: pa.Table, floor: float |
     raw, raw_q, ids = vectors_of(data["vector"]), vectors_of(queries["vector"]), data["id"].to_numpy()
     x, q, k = unit(raw), unit(raw_q), queries["k"].to_numpy()
     first, members, begin = directions(x)
-    edges, entries = build(x[first])
-    r, v, _ = search(x[first], edges, entries, q, k, None if floor is None else 2 * floor - 1 - 1e-4)
+    low = None if floor is None else 2 * floor - 1 - 1e-4
+    whole = queries["other"].to_numpy() > 0 if "other" in queries.column_names else np.zeros(len(q), bool)
+    walk, scan = np.nonzero(~whole)[0], np.nonzero(whole)[0]
+    found = [(np.array([], np.int64), np.array([], np.int64))]
+    if len(walk):
+        edges, entries = build(x[first])
+        r, v, _ = search(x[first], edges, entries, q[walk], k[walk], low)
+        found.append((walk[r], v))
+    if len(scan):
+        r, v = scored(x[first], q[scan], k[scan], low)
+        found.append((scan[r], v))
+    r, v = (np.concatenate(c) for c in zip(*found))
     order = np.argsort(r, kind="stable")
     r, v = r[order], v[order]
     count = np.diff(begin)[v]
@@ -211,6 +224,22 @@ def search_shards(key: tuple, data: pa.Table, queries: pa.Table, floor: float |
     return pa.table({"id": queries["id"].take(pa.array(r)).cast(pa.string()), "node": pa.array(ids[v]), "score": pa.array(score)})
 
 
+def scored(x: np.ndarray, q: np.ndarray, k: np.ndarray, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row): what may be among the k best of each unit query of all unit rows; with a floor those under it are left out."""
+    out = []
+    step = max(1, 8 * EXPANDED // len(x))
+    for at in range(0, len(q), step):
+        s, own = q[at : at + step] @ x.T, k[at : at + step]
+        low = np.full(len(s), -np.inf if floor is None else floor, np.float32)
+        many = np.nonzero((s >= low[:, None]).sum(1) > own)[0]
+        for n in np.unique(own[many]):
+            of = many[own[many] == n]
+            low[of] = np.maximum(low[of], np.partition(s[of], len(x) - n, axis=1)[:, len(x) - n] - 1e-5)  # scores are rounded
+        r, c = np.nonzero(s >= low[:, None])
+        out.append((r + at, c))
+    return tuple(np.concatenate(a) for a in zip(*out))  # type: ignore[return-value]
+
+
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors of (nearly) the same direction are one node of the graph: (a row of each node, rows by node, where each node's rows begin)."""
     key = np.ascontiguousarray(np.rint(x * 4_096).astype(np.int16)).view([("", np.int16)] * x.shape[1]).ravel()
@@ -223,7 +252,7 @@ def most_similar(records: DataFrame, queries: DataFrame, *, floor: float | None
 
     For each query id with a valid vector the k best distinct record ids by (score descending, id ascending), where score
     is (1 + cosine) / 2 in double, rounded to 6; only scores >= floor if one is given. Approximate: a query visits the
-    shards of its `probes` nearest cells. k null or < 1 counts as default_k. Null ids and invalid vectors (null, wrong
+    shards of its `probes` nearest cells, and of those within MARGIN of the nearest. k null or < 1 counts as default_k. Null ids and invalid vectors (null, wrong
     length, not finite, all zero) take no part on either side; a repeated id counts once. Equal vectors, and within a shard
     those of one direction, are one node of the graph and are expanded after the search, so their ties are exact. Empty tables give no rows. Further columns are ignored.
     """
@@ -242,7 +271,7 @@ def most_similar(records: DataFrame, queries: DataFrame, *, floor: float | None
         return search_shards(key, data, queries, floor)
 
     at = ["cell", "part"]
-    hits = routing.home(nodes, cells).groupBy(*at).cogroup(routing.visit(asked, cells, probes, "k int").groupBy(*at)).applyInArrow(group, SCORED)
+    hits = routing.home(nodes, cells).groupBy(*at).cogroup(routing.visit(asked, cells, probes, "k int", margin=MARGIN, most=MOST).groupBy(*at)).applyInArrow(group, SCORED)
     # Copies of a node: no more of them can be hits than the largest k, so each node's list stays short.
     most = F.coalesce(F.lit(asked.agg(F.max("k")).first()[0]), F.lit(1))
     by_node = Window.partitionBy("node").orderBy("id")
