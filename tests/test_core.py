@@ -416,3 +416,18 @@ def test_measured_search(data):
     assert {(r["total_visited"], r["shards_finished"]) for r in metrics.collect()} == {(N, 8)} and metrics.first()["elapsed_ms"] > 0
     with pytest.raises(ValueError):
         api.measured(vectors, asked, "none")
+
+
+def test_float_product_keeps_what_double_keeps():
+    rng = np.random.default_rng(5)
+    s = rng.standard_normal((30, 1_003)).astype(np.float32)
+    k = np.array([1, 3, 10] * 10)
+    r, c, low = search.above(s, k, np.full(30, -9, np.float32), 0.0)
+    for i in range(30):
+        assert set(np.argsort(-s[i])[: k[i]]) <= set(c[r == i]) and (np.sort(s[i])[-k[i]] >= low[i])
+
+
+def test_many_queries_by_shard_are_one_pass_over_ranged_records(data):
+    vectors, asked, _ = data
+    plan = search.candidates(vectors, asked, by="shard_id", block=5)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan and "FlatMapCoGroups" not in plan

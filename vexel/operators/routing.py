@@ -200,17 +200,25 @@ def kmeans_shards(vectors: DataFrame, shards: int = 8, seed: int = 42, iteration
     return vectors.select(*names).mapInArrow(run, schema)
 
 
-def bypassing(floor: float, near: Callable) -> Callable:
+class bypassing:  # noqa: N801
     """For search.per_shard(allow=): records that reach the floor, and those for which near(queries, extra, vectors) holds."""
-    return lambda q, extra, x, s: (s >= floor) | near(q, extra, x)
+
+    def __init__(self, floor: float, near: Callable) -> None:
+        self.floor, self.near = floor, near
+
+    def __call__(self, q: np.ndarray, extra: np.ndarray, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return (s >= self.floor) | self.near(q, extra, x)
 
 
 def signs_apart(most: int) -> Callable:
     """near: the signature of the record differs from the query's hint in fewer than `most` bits; extra: 1 and -1 for the hint's bits, 0 without a hint."""
 
     def near(q: np.ndarray, extra: np.ndarray, x: np.ndarray) -> np.ndarray:
-        far = (x.shape[1] - extra @ np.where(x >= 0, 1.0, -1.0).T) / 2
-        return (far < most) & (np.abs(extra).sum(1) > 0)[:, None]
+        hinted = np.abs(extra).sum(1) > 0
+        # whole numbers, so floats are exact: components less twice the bits that differ
+        alike = extra.astype(np.float32) @ np.where(x >= 0, np.float32(1), np.float32(-1)).T > x.shape[1] - 2 * most
+        alike[~hinted] = False
+        return alike
 
     return near
 

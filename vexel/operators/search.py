@@ -8,6 +8,7 @@ request is routed to. Scores are reckoned in double and rounded to 6 decimals; t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 QUERIES = 20_000
 #: Scores reckoned at once in a task, and records that a task scores together where they are grouped.
 CELLS, PART = 4_000_000, 50_000
+#: Pairs of a query and a record scored in double together, and groups whose bounds a task remembers.
+PAIRS, BOUNDS = 50_000, 256
 HITS = "query_id string, shard_id int, parent_id bigint, global_id bigint, score double, k int"
 METRICS = ("cosine", "dot", "euclidean")
 
@@ -54,6 +57,38 @@ def best(s: np.ndarray, k: np.ndarray, floor: np.ndarray | None) -> tuple[np.nda
     return tuple(np.concatenate(a) for a in zip(*out))  # type: ignore[return-value]
 
 
+def above(s: np.ndarray, k: np.ndarray, low: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, low): the values of each row that reach its bound, low or, where higher, one less by `slack` than the k[row]-th largest, or than a bit less.
+
+    Columns are taken together at first, and the k-th largest of their maxima is no larger than that of all; no full sort is needed."""
+    n = s.shape[1]
+    size = next((g for g in (16, 8, 4, 2) if n // g >= 2 * int(k.max())), 1)
+    wide = n // size
+    most = s[:, : wide * size].reshape(len(s), size, wide).max(axis=1) if size > 1 else s
+    many = np.nonzero((most >= low[:, None]).sum(axis=1) > 1.5 * k)[0]
+    low = low.copy()
+    for m in np.unique(k[many]):
+        own = many[k[many] == m]
+        low[own] = np.maximum(low[own], np.partition(most[own], wide - m, axis=1)[:, wide - m] - np.float32(slack))
+    r, c = np.nonzero(most >= low[:, None])
+    if size > 1:
+        c = c[:, None] + np.arange(size) * wide
+        i, j = np.nonzero(s[r[:, None], c] >= low[r][:, None])
+        r, c = r[i], c[i, j]
+        r2, c2 = np.nonzero(s[:, wide * size :] >= low[:, None])
+        r, c = np.concatenate([r, r2]), np.concatenate([c, c2 + wide * size])
+    return r, c, low
+
+
+def pair_cosines(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray, length_q: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of query r[i] and record c[i], in double."""
+    out = np.empty(len(r))
+    for at in range(0, len(r), PAIRS):
+        i, j = r[at : at + PAIRS], c[at : at + PAIRS]
+        out[at : at + PAIRS] = np.einsum("ij,ij->i", q[i], x[j]) / (length_q[i] * length[j])
+    return out
+
+
 def distinct_rows(b: pa.RecordBatch, by: str | None) -> pa.RecordBatch:
     """In order of (by, global_id), each id once: a record delivered twice must not take two of the k places."""
     ids = b.column("global_id").to_numpy()
@@ -81,6 +116,16 @@ class Kept:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size, self.next, self.batches = 0, 100_000, 0
         self.floor = np.full(len(limit), -np.inf)
+        self.bounds: dict[int, np.ndarray] = {}
+
+    def bound(self, group: int) -> np.ndarray:
+        """For each query what above() has found out about a group so far, to be changed in place; not kept for too many groups."""
+        known = self.bounds.get(group)
+        if known is None:
+            known = np.full(len(self.limit), -1e9, np.float32)
+            if len(self.bounds) < BOUNDS:
+                self.bounds[group] = known
+        return known
 
     def batch(self) -> None:
         """Another batch begins."""
@@ -143,6 +188,9 @@ def scored_into(kept: Kept, b: pa.RecordBatch, q: np.ndarray, metric: str, floor
     gid, shard, parent = (b.column(n).to_numpy(zero_copy_only=False) for n in ("global_id", "shard_id", "parent_id"))
     group = b.column(by).to_numpy() if by else (shard if bounds else None)
     parts = segments(group, len(x))
+    if metric == "cosine" and bounds is None and by != "parent_id" and (allow is None or hasattr(allow, "near")):
+        cosines_into(kept, x, q, gid, shard, parent, parts, floor, allow, extra)
+        return
     step = max(1, CELLS // len(x))
     for at in range(0, len(q), step):
         end = min(at + step, len(q))
@@ -171,6 +219,37 @@ def scored_into(kept: Kept, b: pa.RecordBatch, q: np.ndarray, metric: str, floor
             kept.add(own[r] + at, shard[e0:e1][c] if by else np.zeros(len(r), np.int64), gid[e0:e1][c], s[r, c], shard[e0:e1][c], parent[e0:e1][c])
 
 
+def cosines_into(kept: Kept, x: np.ndarray, q: np.ndarray, gid: np.ndarray, shard: np.ndarray, parent: np.ndarray, parts: list, floor: np.ndarray | None, allow: Callable | None, extra: np.ndarray | None) -> None:
+    """As scored_into() for cosines. The matrix product is one of floats; what may be among the best by it, with a slack for
+    its error and for rounding, is scored in double. allow: with its .floor and .near (queries, extra, vectors)."""
+    length, length_q = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    # The error of a product of unit vectors in floats is under components * 2 ** -24, and a bit for theirs; rounding may move 2e-6.
+    slack = 4e-6 + 2 * (x.shape[1] + 8) * 2.0**-24
+    x1, q1 = ((v / np.maximum(n, 1e-300)[:, None]).astype(np.float32) for v, n in ((x, length), (q, length_q)))
+    bad = ~(np.isfinite(length) & (length > 0))
+    step = max(1, CELLS // len(x))
+    for at in range(0, len(q), step):
+        end = min(at + step, len(q))
+        s = q1[at:end] @ x1.T
+        s[:, bad] = -np.inf
+        if allow is not None:
+            near = allow.near(q[at:end], extra[at:end] if extra is not None else None, x)
+            s[~(near | (s >= np.float32(2 * allow.floor - 1 - slack)))] = -np.inf
+        known = kept.floor[at:end] if floor is None else np.maximum(kept.floor[at:end], floor[at:end])
+        for e0, e1 in parts:
+            bound = kept.bound(int(shard[e0]) if kept.by else 0)
+            low = np.maximum(np.maximum(bound[at:end], -3), 2 * known - 1 - slack).astype(np.float32)
+            r, c, bound[at:end] = above(s[:, e0:e1], kept.limit[at:end], low, slack)
+            c += e0
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.round((1 + pair_cosines(q[at:end], x, r, c, length_q[at:end], length)) / 2, 6)
+            ok = (score >= known[r]) & np.isfinite(score)
+            if allow is not None:
+                ok &= (score >= allow.floor) | near[r, c]
+            r, c, score = r[ok], c[ok], score[ok]
+            kept.add(r + at, shard[c] if kept.by else np.zeros(len(r), np.int64), gid[c], score, shard[c], parent[c])
+
+
 def hits_of(kept: Kept, ids: pa.Array, own_k: np.ndarray) -> pa.RecordBatch:
     """HITS of what was kept."""
     c = kept.rest() or (np.array([], np.int64),) * 6
@@ -200,8 +279,8 @@ def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None,
         extra = matrix(t["extra"]) if "extra" in columns else None
         return matrix(t["vector"]), ids, own_k, own_k if k is None else np.full(len(own_k), k), floors_of(t), extra
 
-    if blocks == 1:
-        q, ids, own_k, limit, floor, extra = keep(asked.toArrow())
+    def by_task(t: pa.Table, rows: DataFrame) -> DataFrame:
+        q, ids, own_k, limit, floor, extra = keep(t)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = Kept(limit, by)
@@ -210,7 +289,14 @@ def candidates(vectors: DataFrame, queries: DataFrame, *, by: str | None = None,
                     scored_into(kept, distinct_rows(b, by or ("shard_id" if bounds else None)), q, metric, floor, bounds, allow, extra)
             yield from sliced(hits_of(kept, ids, own_k))
 
-        return by_query(rows.mapInArrow(run, HITS))
+        return rows.mapInArrow(run, HITS)
+
+    if blocks == 1:
+        return by_query(by_task(asked.toArrow(), rows))
+    if by == "shard_id":
+        # Records are ranged by shard: a task has those of few shards, and sends on the best of these only.
+        rows = rows.repartitionByRange(2 * vectors.sparkSession.sparkContext.defaultParallelism, "shard_id", "global_id")
+        return by_query(reduce(DataFrame.unionByName, [by_task(t, rows) for t in query_blocks(asked, block)]))
 
     parts = max(1, -(-vectors.count() // PART))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -323,8 +409,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, visits: int) -> DataFrame
     """HITS and distance int: in every shard the `visits` records whose signatures differ least from the query's, with their scores.
 
     Ties of the signature distance go to the smaller global_id. A task compares signatures, and scores only the records
-    that are among its own nearest."""
+    that are among its own nearest. Records are ranged by shard, so a task has those of few shards and sends on the nearest of these only."""
     out = None
+    rows = vectors.select("shard_id", "parent_id", "global_id", "vector").repartitionByRange(2 * vectors.sparkSession.sparkContext.defaultParallelism, "shard_id", "global_id")
     for t in query_blocks(queries.select("query_id", "vector", "k")):
         q, ids, own_k = matrix(t["vector"]), t["query_id"].combine_chunks(), t["k"].to_numpy().astype(np.int64)
 
@@ -344,18 +431,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, visits: int) -> DataFrame
                 for at in range(0, len(q), step):
                     near = signs_q[at : at + step] @ signs.T  # components less twice the distance
                     for e0, e1 in segments(group, len(x)):
-                        # ids ascend within a shard: of equal distances the first are taken
-                        turn = near[:, e0:e1].astype(np.float64) * (e1 - e0) - np.arange(e1 - e0)
-                        c = np.argpartition(-turn, visits - 1, axis=1)[:, :visits] if visits < e1 - e0 else np.tile(np.arange(e1 - e0), (len(near), 1))
-                        r, c = np.repeat(np.arange(len(near)), c.shape[1]), c.ravel() + e0
-                        kept.add(r + at, group[c], gid[c], near[r, c], group[c], parent[c], np.einsum("ij,ij->i", q[r + at], x[c]) / (length_q[r + at] * length[c]))
+                        bound = kept.bound(int(group[e0]))[at : at + step]
+                        r, c, bound[:] = above(near[:, e0:e1], kept.limit[at : at + step], bound, 0)
+                        value, c = near[r, c + e0], c + e0
+                        kept.add(r + at, group[c], gid[c], value, group[c], parent[c], pair_cosines(q, x, r + at, c, length_q, length))
             c = kept.rest() or (np.array([], np.int64),) * 7
             r = c[0].astype(np.int64)
             far = ((q.shape[1] - c[3]) / 2).astype(np.int32)
             names = ["query_id", "shard_id", "parent_id", "global_id", "score", "k", "distance"]
             yield from sliced(pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(c[4].astype(np.int32)), pa.array(c[5].astype(np.int64)), pa.array(c[2].astype(np.int64)), pa.array(np.round((1 + c[6].astype(float)) / 2, 6)), pa.array(own_k[r].astype(np.int32)), pa.array(far)], names=names))
 
-        part = vectors.select("shard_id", "parent_id", "global_id", "vector").mapInArrow(run, HITS + ", distance int")
+        part = rows.mapInArrow(run, HITS + ", distance int")
         out = part if out is None else out.unionByName(part)
     turn = Window.partitionBy("query_id", "shard_id").orderBy("distance", "global_id")
     return once(by_query(out)).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= visits).drop("turn")
