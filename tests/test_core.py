@@ -431,3 +431,7 @@ def test_many_queries_by_shard_are_one_pass_over_ranged_records(data):
     vectors, asked, _ = data
     plan = search.candidates(vectors, asked, by="shard_id", block=5)._jdf.queryExecution().toString()
     assert "RepartitionByExpression" in plan and "FlatMapCoGroups" not in plan
+
+
+def test_barrier_exchanges_many_queries_at_once():
+    assert collaborative.EXCHANGE >= 20_000

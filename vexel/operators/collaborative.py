@@ -5,7 +5,7 @@ so far, which loses hits and exists to compare."""
 
 from __future__ import annotations
 
-import json
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as fv
 from . import search
 
-#: Queries whose floors are exchanged at once: what a task sends stays under a few MB.
-EXCHANGE = 2_000
+#: Queries whose floors are exchanged at once: what a task sends, 11 bytes for each hit, stays under a few MB.
+EXCHANGE = 20_000
 
 
 def floors(hits: DataFrame, kind: str = "kth") -> DataFrame:
@@ -46,40 +46,29 @@ def barrier(vectors: DataFrame, queries: DataFrame, *, tasks: int | None = None)
     the k-th best of all. Needs as many free slots as tasks; tasks is cut to the default parallelism."""
     spark = vectors.sparkSession
     slots = max(1, spark.sparkContext.defaultParallelism)
-    rows = vectors.select("shard_id", "parent_id", "global_id", "vector")
-    if rows.rdd.getNumPartitions() > min(slots, tasks or slots):
-        # A barrier stage may not merge partitions of its input itself, so this is a shuffle and not coalesce().
-        rows = rows.repartition(min(slots, tasks or slots))
+    # A barrier stage may not merge partitions of its input itself, so this is a shuffle and not coalesce().
+    rows = vectors.select("shard_id", "parent_id", "global_id", "vector").repartition(min(slots, tasks or slots), "global_id")
     out = None
     for t in search.query_blocks(queries.select("query_id", "vector", "k"), EXCHANGE):
         q, ids, k = search.matrix(t["vector"]), t["query_id"].combine_chunks(), t["k"].to_numpy().astype(np.int64)
 
         def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids, k=k) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, ...]] = []
+            kept = search.Kept(k, None)
             for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                b = search.distinct_rows(b, None)
-                s = search.scores(q, search.matrix(b.column("vector")), "cosine")
-                r, c = search.best(s, k, None)
-                held.append((r, s[r, c], *(b.column(n).to_numpy(zero_copy_only=False)[c] for n in ("shard_id", "parent_id", "global_id"))))
-            r, s, shard, parent, gid = (np.concatenate(a) for a in zip(*held)) if held else (np.array([], np.int64), np.array([]), *[np.array([], np.int64)] * 3)
-            # distinct records only: one delivered twice must not raise the floor
-            _, one = np.unique(np.stack([r, gid]), axis=1, return_index=True) if len(r) else (None, np.array([], np.int64))
-            r, s, shard, parent, gid = r[one], s[one], shard[one], parent[one], gid[one]
-            order = np.lexsort((-s, r))
-            begin = np.searchsorted(r[order], np.arange(len(q)))
-            mine = {int(i): [(float(s[j]), int(gid[j])) for j in order[begin[i] : begin[i] + k[i]] if r[j] == i] for i in np.unique(r)}
+                if b.num_rows and len(q):
+                    search.scored_into(kept, search.distinct_rows(b, None), q, "cosine", None)
+            # All deliveries of a record are in one task, which has each of them once: scores alone tell the k-th best of all.
+            r, _, gid, s, shard, parent = kept.cut() or (np.array([], np.int64),) * 6
+            mine = np.stack([r.astype(np.int32), np.rint(s * 1e6).astype(np.int32)])
+            sent = BarrierTaskContext.get().allGather(base64.b64encode(mine.tobytes()).decode())
+            every = np.concatenate([np.frombuffer(base64.b64decode(m), np.int32).reshape(2, -1) for m in sent], axis=1)
+            every = every[:, np.lexsort((-every[1], every[0]))]
+            begin, end = (np.searchsorted(every[0], np.arange(len(q)), side) for side in ("left", "right"))
             floor = np.full(len(q), -np.inf)
-            every: dict[int, dict[int, float]] = {}
-            for message in BarrierTaskContext.get().allGather(json.dumps(mine)):
-                for i, pairs in json.loads(message).items():
-                    every.setdefault(int(i), {}).update({g: v for v, g in pairs})
-            for i, known in every.items():
-                if len(known) >= k[i]:
-                    floor[i] = sorted(known.values(), reverse=True)[k[i] - 1]
-            ok = s >= floor[r]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r[ok])), pa.array(shard[ok].astype(np.int32)), pa.array(parent[ok]), pa.array(gid[ok]), pa.array(s[ok]), pa.array(k[r[ok]].astype(np.int32))], names=["query_id", "shard_id", "parent_id", "global_id", "score", "k"])
+            full = end - begin >= k
+            floor[full] = every[1][(begin + k - 1)[full]]
+            ok = np.rint(s * 1e6) >= floor[r]
+            yield from search.sliced(pa.RecordBatch.from_arrays([ids.take(pa.array(r[ok])), pa.array(shard[ok].astype(np.int32)), pa.array(parent[ok].astype(np.int64)), pa.array(gid[ok].astype(np.int64)), pa.array(s[ok].astype(float)), pa.array(k[r[ok]].astype(np.int32))], names=["query_id", "shard_id", "parent_id", "global_id", "score", "k"]))
 
         # Each block of queries is ranked before the union: a barrier stage may not hold a union itself.
         part = search.ranked(search.once(rows.mapInArrow(run, search.HITS, barrier=True)), "query_id").where(F.col("rank") <= F.col("k"))
