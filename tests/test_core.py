@@ -435,3 +435,9 @@ def test_many_queries_by_shard_are_one_pass_over_ranged_records(data):
 
 def test_barrier_exchanges_many_queries_at_once():
     assert collaborative.EXCHANGE >= 20_000
+
+
+def test_budget_counts_visits_without_a_search(data, monkeypatch):
+    vectors, asked, _ = data
+    monkeypatch.setattr(search, "nearest", None)
+    assert {r["visited"] for r in api.visited(vectors, asked, "budgeted", visits=20).collect()} == {160}

@@ -111,7 +111,8 @@ def text_search(vectors: DataFrame, texts: DataFrame, *, k: int = 10, prefix: st
 def visited(vectors: DataFrame, queries: DataFrame, mode: str, **options: object) -> DataFrame:
     """(query_id, visited): how many records a search of this mode scores for each query."""
     if mode == "budgeted":
-        return search.nearest(vectors, queries, visits=options["visits"]).groupBy("query_id").agg(F.count("*").alias("visited"))
+        # Of each shard the nearest `visits`, or all if it has fewer: so many are scored, whichever they are.
+        return search.visits(vectors, queries).groupBy("query_id").agg(F.sum(F.least("visited", F.lit(options["visits"]))).alias("visited"))
     if mode == "routed":
         near = routing.routes(queries, routing.mean_centroids(vectors), **options).select("query_id", "shard_id")
         return search.visits(vectors, queries).join(near, ["query_id", "shard_id"], "left_semi").groupBy("query_id").agg(F.sum("visited").alias("visited"))
